@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from plaitwork.llm import bpe, exact_dedup
+from plaitwork.llm import bpe, exact_dedup, packing, simhash
 from plaitwork.llm.common import documents
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -18,11 +18,20 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir), public_tokenizers.path(BYTE_VOCABULARY))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir), public_tokenizers.path(WORD_VOCABULARY))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).withColumnRenamed("digest", "text_sha256")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op8_exact_dedup": op8_exact_dedup}
+QUERIES = {"op2_bpe": op2_bpe, "op4_packing": op4_packing, "op7_simhash": op7_simhash, "op8_exact_dedup": op8_exact_dedup}
 
 ORACLES = {
     "op8_exact_dedup": r"""
