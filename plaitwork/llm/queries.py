@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from plaitwork.llm import bpe, exact_dedup, packing, simhash
+from plaitwork.llm import bpe, exact_dedup, language_id, packing, simhash
 from plaitwork.llm.common import documents
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -31,7 +31,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).withColumnRenamed("digest", "text_sha256")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op4_packing": op4_packing, "op7_simhash": op7_simhash, "op8_exact_dedup": op8_exact_dedup}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.predictions(docs, language_id.fit(docs))
+
+
+QUERIES = {"op2_bpe": op2_bpe, "op4_packing": op4_packing, "op7_simhash": op7_simhash, "op8_exact_dedup": op8_exact_dedup, "op10_language_id": op10_language_id}
 
 ORACLES = {
     "op8_exact_dedup": r"""
