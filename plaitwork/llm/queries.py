@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from plaitwork.llm import bpe, exact_dedup, language_id, packing, simhash
+from plaitwork.llm import bpe, exact_dedup, language_id, packing, pii, simhash
 from plaitwork.llm.common import documents
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -18,6 +18,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir), public_tokenizers.path(BYTE_VOCABULARY))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans_of(documents(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), public_tokenizers.path(WORD_VOCABULARY))
 
@@ -36,7 +40,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predictions(docs, language_id.fit(docs))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op4_packing": op4_packing, "op7_simhash": op7_simhash, "op8_exact_dedup": op8_exact_dedup, "op10_language_id": op10_language_id}
+QUERIES = {"op2_bpe": op2_bpe, "op3_pii": op3_pii, "op4_packing": op4_packing, "op7_simhash": op7_simhash, "op8_exact_dedup": op8_exact_dedup, "op10_language_id": op10_language_id}
 
 ORACLES = {
     "op8_exact_dedup": r"""
