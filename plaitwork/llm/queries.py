@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from plaitwork.llm import bpe, chat, exact_dedup, language_id, packing, pii, simhash
+from plaitwork.llm import bpe, chat, exact_dedup, language_id, packing, pii, simhash, substring_dedup
 from plaitwork.llm.common import documents
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir), public_tokenizers.path(BYTE_VOCABULARY))
 
@@ -44,7 +48,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predictions(docs, language_id.fit(docs))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_pii": op3_pii, "op4_packing": op4_packing, "op7_simhash": op7_simhash, "op8_exact_dedup": op8_exact_dedup, "op9_chat_format": op9_chat_format, "op10_language_id": op10_language_id}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_bpe": op2_bpe, "op3_pii": op3_pii, "op4_packing": op4_packing, "op7_simhash": op7_simhash, "op8_exact_dedup": op8_exact_dedup, "op9_chat_format": op9_chat_format, "op10_language_id": op10_language_id}
 
 ORACLES = {
     "op8_exact_dedup": r"""
