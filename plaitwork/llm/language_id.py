@@ -161,3 +161,14 @@ def predictions(df: DataFrame, filters: Filters, id_col: str = "doc_id", text_co
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(batches, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def predicted_column(df: DataFrame, filters: Filters, name: str, text_col: str = "text") -> DataFrame:
+    """df with the predicted language of each row in a new column."""
+    shared = df.sparkSession.sparkContext.broadcast(filters)
+
+    @F.pandas_udf("string")
+    def language(texts):
+        return texts.map(lambda t: shared.value.predict(t)[0])
+
+    return df.withColumn(name, language(F.col(text_col)))

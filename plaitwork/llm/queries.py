@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from plaitwork.llm import bpe, chat, exact_dedup, language_id, packing, pii, simhash, substring_dedup
+from plaitwork.llm import bpe, chat, exact_dedup, flac, language_id, packing, pii, simhash, substring_dedup, token_store
 from plaitwork.llm.common import documents
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -30,6 +30,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), public_tokenizers.path(WORD_VOCABULARY))
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = token_store.write_ids(documents(spark, sf_dir), public_tokenizers.path(BYTE_VOCABULARY), end_id=0)
+    return token_store.read_documents(blocks)
+
+
+def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.read_back(flac.encode_column(documents(spark, sf_dir)))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -48,7 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predictions(docs, language_id.fit(docs))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_bpe": op2_bpe, "op3_pii": op3_pii, "op4_packing": op4_packing, "op7_simhash": op7_simhash, "op8_exact_dedup": op8_exact_dedup, "op9_chat_format": op9_chat_format, "op10_language_id": op10_language_id}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_bpe": op2_bpe, "op3_pii": op3_pii, "op4_packing": op4_packing, "op5_token_store": op5_token_store, "op6_flac": op6_flac, "op7_simhash": op7_simhash, "op8_exact_dedup": op8_exact_dedup, "op9_chat_format": op9_chat_format, "op10_language_id": op10_language_id}
 
 ORACLES = {
     "op8_exact_dedup": r"""
