@@ -23,7 +23,8 @@ def validate(df: DataFrame, key: str, value: str | None = None) -> DataFrame:
 
     Each partition is read in its own order; between partitions only their first and last keys are compared."""
     marked = df.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"), F.col(key).alias("key"), *([F.col(value).alias("value")] if value else []))
-    crc = F.crc32(F.col("key").cast("binary") if not value else F.concat(F.col("key").cast("binary"), F.col("value").cast("binary")))
+    raw = lambda c: F.col(c) if dict(marked.dtypes)[c] == "binary" else F.col(c).cast("string").cast("binary")
+    crc = F.crc32(F.concat(raw("key"), raw("value")) if value else raw("key"))
     inner = marked.withColumn("before", F.lag("key").over(Window.partitionBy("part").orderBy("at")))
     parts = inner.groupBy("part").agg(
         F.count(F.lit(1)).alias("n"), F.sum(crc).alias("crc"), F.sum((F.col("before") > F.col("key")).cast("int")).alias("broken"),

@@ -500,8 +500,8 @@ def chain(spark, d) -> DataFrame:
     return line.where("dst is not null").withColumn("attr", F.lit(1))
 
 
-def _pagerank_sql(rounds: int, edges: str = "e") -> str:
-    steps = [f"w AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM {edges})", "r0 AS (SELECT id, 1.0::DOUBLE AS rank FROM v)"]
+def _pagerank_sql(rounds: int, first: float = 1.0) -> str:
+    steps = ["w AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM e)", f"r0 AS (SELECT id, {first}::DOUBLE AS rank FROM v)"]
     for i in range(rounds):
         steps.append(f"r{i + 1} AS (SELECT v.id, 0.15 + 0.85 * coalesce(s.got, 0) AS rank FROM v LEFT JOIN (SELECT dst, sum(rank * w) AS got FROM w JOIN r{i} ON id = src GROUP BY dst) s ON s.dst = v.id)")
     return f"WITH {_CHAIN}, {_IDS}, " + ", ".join(steps)
@@ -512,9 +512,10 @@ def gr_pagerank(spark, d):
     return graph.pagerank(chain(spark, d), 4).select("id", F.round("rank", 6).alias("rank"))
 
 
-@query(_pagerank_sql(40) + " SELECT id, round(rank * (SELECT count(*) / sum(rank) FROM r40), 2) AS rank FROM r40")
+@query(_pagerank_sql(12, 0.15) + " SELECT id, round(rank * (SELECT count(*) / sum(rank) FROM r12), 6) AS rank FROM r12")
 def gr_pagerank_delta(spark, d):
-    return graph.pagerank_until(chain(spark, d), 1e-5).select("id", F.round("rank", 2).alias("rank"))
+    """Twelve rounds, in which no change falls to the tolerance, are twelve rounds from the reset probability."""
+    return graph.pagerank_until(chain(spark, d), 1e-9, most=12).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query(_pagerank_sql(4) + " SELECT p_name, round(rank, 6) AS rank FROM r4 JOIN part ON p_partkey = id")

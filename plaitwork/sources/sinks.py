@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyarrow.fs import FileSystem, FileType, LocalFileSystem
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,16 +25,29 @@ def text(df: DataFrame, path: str, sep: str = ",") -> None:
     df.select(F.concat_ws(sep, *[F.col(c).cast("string") for c in df.columns]).alias("value")).write.mode("errorifexists").text(path)
 
 
-def binary_records(df: DataFrame, path: str) -> None:
-    """key and value side by side, as hex lines would be wasteful: one binary column in Parquet-free files of fixed-width records."""
-
-    def join(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            both = [k + v for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([b.decode("latin-1") for b in both], pa.string())], ["value"])
-
-    # text in ISO-8859-1 without line ends is the bytes themselves
-    df.select("key", "value").mapInArrow(join, "value string").write.mode("errorifexists").option("encoding", "ISO-8859-1").option("lineSep", "").text(path)
+def binary_records(df: DataFrame, path: str) -> int:
+    """Fixed-width records, key and value side by side, one file per partition; the number of records.
+
+    Fails if the folder exists.  A task writes under a name of its own and renames the file when it is whole, so a
+    task that runs twice leaves one file.  path is a local (shared) path or a URI that pyarrow's file systems open."""
+    system, folder = FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
+    if system.get_file_info(folder).type != FileType.NotFound:
+        raise FileExistsError(path)
+    system.create_dir(folder)
+
+    def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, place = FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
+        task, n = TaskContext.get(), 0
+        name = f"{place}/part-{task.partitionId():05d}"
+        with own.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp") as out:
+            for batch in it:
+                for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    out.write(key + value)
+                    n += 1
+        own.move(f"{name}.{task.taskAttemptId()}.tmp", name)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return df.select("key", "value").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def console(df: DataFrame, mode: str = "append") -> StreamingQuery:
