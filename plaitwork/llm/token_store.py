@@ -34,9 +34,9 @@ from plaitwork.llm.common import shuffle_width, whole_text, written
 
 BLOCK = 4096
 #: Blocks that are coded in step.
-LANES = 768
+LANES = 1024
 _SLOT_BITS = 10
-_TABLE_BITS = 11
+_TABLE_BITS = 10
 _TOP, _BOTTOM = np.uint32(1 << 24), np.uint32(1 << 16)
 _ONE = 4096
 _MAGIC = b"TKB1"
@@ -50,10 +50,11 @@ class TokenFileError(ValueError):
 class _Model:
     """The predictors and mixing state of many blocks; all arrays are flat, a lane after the other."""
 
-    def __init__(self, lanes: int):
-        self.t2 = np.zeros(lanes << _TABLE_BITS, np.int64)
-        self.t1 = np.zeros(lanes << _TABLE_BITS, np.int64)
-        self.recent = np.zeros(lanes << _SLOT_BITS, np.int64)
+    def __init__(self, lanes: int, width: int):
+        kind = np.int32 if width < 29 else np.int64  # small tables stay in the processor's cache
+        self.t2 = np.zeros(lanes << _TABLE_BITS, kind)
+        self.t1 = np.zeros(lanes << _TABLE_BITS, kind)
+        self.recent = np.zeros(lanes << _SLOT_BITS, kind)
         # a distribution of the four events is four 16-bit numbers, side by side
         self.by_state = np.full((lanes * 50, 4), _ONE // 4, np.int16)
         self.by_past = np.full((lanes * 16, 4), _ONE // 4, np.int16)
@@ -135,7 +136,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     for i, k in enumerate(turn.tolist()):
         ids[: sizes[i], i] = blocks[k]
     events = np.zeros((longest, lanes), np.int8)
-    model = _Model(lanes)
+    model = _Model(lanes, int(ids.max()).bit_length() if ids.size else 1)
     low, span = np.zeros(lanes, np.uint32), np.full(lanes, 0xFFFFFFFF, np.uint32)
     coded, end = np.zeros((lanes, longest + 64), np.uint8), np.zeros(lanes, np.int64)
     lane_no = np.arange(lanes)
@@ -209,7 +210,7 @@ def _decode(rows: list[bytes]) -> list[np.ndarray]:
     bit = (base + np.array([h[4] for h in heads])[turn]) * 8
     width = np.array([h[2] for h in heads], np.int64)[turn]
     ids = np.zeros((longest, lanes), np.int64)
-    model = _Model(lanes)
+    model = _Model(lanes, int(width.max()) if lanes else 1)
     low, span, code = np.zeros(lanes, np.uint32), np.full(lanes, 0xFFFFFFFF, np.uint32), np.zeros(lanes, np.uint32)
     for _ in range(4):
         code = (code << np.uint32(8)) | buffer[byte]
@@ -239,7 +240,7 @@ def _decode(rows: list[bytes]) -> list[np.ndarray]:
             lo[go] <<= np.uint32(8)
             sp[go] <<= np.uint32(8)
         low[:n], span[:n] = lo, sp
-        now = np.where(e == 0, model.p2 - 1, model.p1 - 1)
+        now = np.where(e == 0, model.p2, model.p1).astype(np.int64) - 1
         at = np.flatnonzero(e >= 2)
         if len(at):
             short_code = e[at] == 2
