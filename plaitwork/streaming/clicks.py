@@ -120,3 +120,8 @@ def frequency_sketch(df: DataFrame, column: str, eps: float = 0.01, confidence:
 
 def distinct_sketch(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.hll_sketch_estimate(F.hll_sketch_agg(column)).alias("estimate"))
+
+
+def refit_each_batch(stream: DataFrame, fit: Callable[[DataFrame], object], keep: Callable[[int, object], None]):
+    """Fit a model again on every batch of labelled rows (streaming logistic regression and the like); keep gets each model."""
+    return stream.writeStream.foreachBatch(lambda batch, number: None if batch.isEmpty() else keep(number, fit(batch))).trigger(availableNow=True).start()
