@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plaitwork.llm.common import SEPARATORS, whole_text, written
+from plaitwork.llm.common import SEPARATORS, fresh, whole_text, written
 
 SALTS = 128
 _SHIFT = "18446744073709551616"  # 2**64: a length and an id share one decimal(38,0)
@@ -67,8 +67,9 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of df that stay, with df's columns; of rows that repeat both id and text one stays."""
-    groups = exact_groups(df, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).distinct()
+    kept_id, kept_digest, row_digest = fresh(df, "kept_id"), fresh(df, "kept_digest"), fresh(df, "row_digest")
+    groups = exact_groups(df, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias(kept_id), F.col("digest").alias(kept_digest)).distinct()
     digest = options.get("digest", sha256_hex)
-    named = df.withColumn("_row_digest", digest(normalised(whole_text(text_col))))
-    stay = named.join(groups, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_row_digest") == F.col("_kept_digest")), "left_semi")
-    return stay.dropDuplicates([id_col, "_row_digest"]).drop("_row_digest")
+    named = df.withColumn(row_digest, digest(normalised(whole_text(text_col))))
+    stay = named.join(groups, F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)) & (F.col(row_digest) == F.col(kept_digest)), "left_semi")
+    return stay.dropDuplicates([id_col, row_digest]).drop(row_digest)

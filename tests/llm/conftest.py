@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 TEXTS = [
     None, "", " \t\n", "a", "the cat sat on the mat. the cat sat on the mat.", "the cat  sat on the mat. the cat sat on the mat.",
@@ -11,7 +12,10 @@ def edge_docs(spark):
     """Nulls in every column, empty and long texts, ties, repeated rows, and columns with names that operators use inside."""
     rows = [(k, t, "en" if k % 2 else None, "s", None if t is None else len(t), k) for k, t in enumerate(TEXTS)]
     rows += [rows[4], rows[4], (None, "a lonely null id", None, None, None, None)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, fp long").withColumnRenamed("fp", "anchor")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, anchor long")
+    for name in ("fp", "kept_id", "row_digest", "predicted", "stay", "_norm", "start", "digest"):
+        df = df.withColumn(name, F.lit(name))
+    return df
 
 
 @pytest.fixture(scope="session")
