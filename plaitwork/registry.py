@@ -579,7 +579,7 @@ def _bfs_sql(edges: str, start: str, rounds: int = _HOPS) -> str:
     return ", ".join(steps)
 
 
-@query(f"WITH {_CHAIN}, {_IDS}, " + _bfs_sql("SELECT DISTINCT dst AS a, src AS b FROM e", "SELECT 1 AS id") + f" SELECT id, 1 AS landmark, hops FROM h{_HOPS} WHERE id IN (SELECT id FROM v)")
+@query(f"WITH {_CHAIN}, {_IDS}, " + _bfs_sql("SELECT DISTINCT dst AS a, src AS b FROM e", "SELECT 1 AS id") + f" SELECT id, 1::BIGINT AS landmark, hops FROM h{_HOPS} WHERE id IN (SELECT id FROM v)")
 def gr_landmarks(spark, d):
     return graph.landmark_distances(chain(spark, d), [1])
 
@@ -844,7 +844,7 @@ def so_top_k(spark, d):
     return sorting.top_k(table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice"), 50, F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
 
 
-@query("SELECT count(*) AS n_rows, 0 AS broken_inside, 0 AS broken_between FROM orders")
+@query("SELECT count(*) AS n_rows, 0::BIGINT AS broken_inside, 0::BIGINT AS broken_between FROM orders")
 def so_validate(spark, d):
     done = sorting.range_sort(table(spark, d, "orders").select(F.hex("o_orderkey").alias("key")), ["key"])
     return sorting.validate(done, "key").drop("checksum")
