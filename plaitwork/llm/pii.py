@@ -98,7 +98,7 @@ LOOK_ALIKES = {
     "signs": ("﹫＠．。․‚＋‐‑–−﹣－", "@@...,+------"),
 }
 # Characters without width.
-INVISIBLE = "​‌‍⁠﻿­"
+INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 
 _SINGLE = {a: b for have, want in LOOK_ALIKES.values() for a, b in zip(have, want, strict=True)}
 _SINGLE |= {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)}  # full-width forms
