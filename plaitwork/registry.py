@@ -848,3 +848,72 @@ def so_top_k(spark, d):
 def so_validate(spark, d):
     done = sorting.range_sort(table(spark, d, "orders").select(F.hex("o_orderkey").alias("key")), ["key"])
     return sorting.validate(done, "key").drop("checksum")
+
+
+# more of streaming, generators and model selection ------------------------------------------------------------------------
+
+
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM conversations) WHERE word <> '' GROUP BY word")
+def st_stateful_word_count(spark, d):
+    """Counts kept as state; the last update of a word is its count."""
+    import uuid
+
+    lines = clicks.stream_of(spark, f"{d}/conversations.parquet")
+    words = lines.select(F.explode(F.split("text", " ")).alias("word")).where("word <> ''")
+    updates = clicks.run_to_table(clicks.stateful_word_count(words), f"t_{uuid.uuid4().hex}", "update")
+    return updates.groupBy("word").agg(F.max("n").alias("n"))
+
+
+@query("SELECT conv_id, turn, text FROM conversations WHERE regexp_matches(text, '(^| )the ')")
+def st_grep(spark, d):
+    return clicks.grep(table(spark, d, "conversations", "conv_id", "turn", "text"), "(^| )the ", "text")
+
+
+@query("SELECT true AS near")
+def st_distinct_sketch(spark, d):
+    words = table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("word"))
+    both = clicks.distinct_sketch(words, "word").crossJoin(words.agg(F.countDistinct("word").alias("exact")))  # one row each
+    return both.select((F.abs(F.col("estimate") - F.col("exact")) <= 0.1 * F.col("exact")).alias("near"))
+
+
+@query("SELECT event_type AS tag, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, tag LIMIT 3")
+def st_top_tags(spark, d):
+    tags = table(spark, d, "events").select(F.concat(F.lit("#"), F.col("event_type")).alias("value"))
+    return clicks.top_tags(tags, 3).withColumn("tag", F.expr("substring(tag, 2)"))
+
+
+@query()
+def gen_sort_records(spark, d):
+    from plaitwork.sources import datagen
+
+    return sorting.range_sort(datagen.sort_records(spark, 10_000, 4), ["key"]).select(F.hex("key").alias("key"), F.hex("value").alias("value"))
+
+
+@query()
+def gen_log_normal_graph(spark, d):
+    from plaitwork.sources import datagen
+
+    return datagen.log_normal_graph(spark, 500, 4, 2.0, 1.0)
+
+
+@query()
+def gen_low_rank_matrix(spark, d):
+    from plaitwork.sources import datagen
+
+    return datagen.low_rank_matrix(spark, 50, 20, 10)
+
+
+@query()
+def gen_svm_points(spark, d):
+    from plaitwork.sources import datagen
+
+    return datagen.svm_points(spark, 2000, 10)
+
+
+@query()
+def ml_als_selection(spark, d):
+    """The grid's best model by validation error, against the mean rating."""
+    train, validation, test = ml.digit_split(cut(_rated(spark, d)))
+    model, rmse, chosen = ml.select_als(train, validation, (4, 8), (0.1,), (3,))
+    scored = ml.mean_squared_error(model.transform(test), "prediction", "rating").select(F.sqrt("mse").alias("rmse"))
+    return scored.select(F.lit(chosen["rank"]).alias("rank"), F.lit(rmse).alias("validation_rmse"), "rmse")
