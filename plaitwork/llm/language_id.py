@@ -123,13 +123,13 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     The sample is the rows whose hash lies below a threshold that follows from the language's row count.  A task sends on
     at most 8 * top n-grams of a language, and the driver gets top of each of at most LANGUAGES languages."""
     labelled = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    ranked = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit("language")).alias("h"))
     # a threshold of the hash for each language from its row count: about per_language rows lie below it
-    sizes = {r["lang"]: r["n"] for r in ranked.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.select(F.col(lang_col).alias("lang")).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return Filters([], {})
     share = F.create_map(*[c for name, size in sizes.items() for c in (F.lit(name), F.lit(min(1.0, per_language / size)))])
-    below = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit("language")), 1) / F.lit(float(1 << 63))) < share[F.col(lang_col)]
+    chance = F.xxhash64(F.col(id_col), F.substring(F.col(text_col), 1, 200), F.lit("language"))  # rows without an id differ by text
+    below = (F.shiftrightunsigned(chance, 1) / F.lit(float(1 << 63))) < share[F.col(lang_col)]
     sample = labelled.where(below).select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, CHARS).alias("text"))
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
