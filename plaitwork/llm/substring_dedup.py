@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plaitwork.llm.bpe import Memo
-from plaitwork.llm.common import shuffle_width, whole_text, written
+from plaitwork.llm.common import dropped, shuffle_width, whole_text, written
 
 MIN_WORDS = 13
 PREFIX = 5
@@ -102,25 +102,49 @@ def internal_nodes(suffixes: list[tuple], depth: int) -> Iterator[tuple[int, int
             start, least = k, None
 
 
-def repeats(pieces: list[tuple[int, int, int, bytes]], min_words: int) -> list[tuple[int, int, int]]:
-    """(doc, first, last) windows to be removed, from pieces (doc, first window, last window, text) with one anchor."""
+def keepers(texts: dict[bytes, int], min_words: int) -> dict[bytes, list[int]]:
+    """For each text, the least document of each of its windows, from the least document of each text."""
+    if len(texts) == 1:
+        ((text, low),) = texts.items()
+        return {text: [low] * (text.count(b" ") + 2 - min_words)}
     entries = []
-    for doc, first, last, text in pieces:
+    for text, low in texts.items():
         words = text.split(b" ")
-        entries += [(tuple(words[k : k + min_words]), doc, first + k) for k in range(last - first + 1)]
+        entries += [(tuple(words[k : k + min_words]), low, text, k) for k in range(len(words) - min_words + 1)]
     entries.sort()
-    out = []
+    out = {text: [low] * (text.count(b" ") + 2 - min_words) for text, low in texts.items()}
     for _, lo, hi in internal_nodes([e[0] for e in entries], min_words):
-        keeper = entries[lo][1]
-        out += [(doc, at) for _, doc, at in entries[lo:hi] if doc > keeper]
-    out.sort()
-    spans: list[tuple[int, int, int]] = []
-    for doc, at in out:
-        if spans and spans[-1][0] == doc and spans[-1][2] + 1 >= at:
-            spans[-1] = (doc, spans[-1][1], max(at, spans[-1][2]))
-        else:
-            spans.append((doc, at, at))
-    return spans
+        least = entries[lo][1]
+        for _, _, text, k in entries[lo:hi]:
+            out[text][k] = least
+    return out
+
+
+def spans_below(doc: int, first: int, least: list[int]) -> list[tuple[int, int, int]]:
+    """(doc, first, last): stretches of windows whose least document is a smaller one."""
+    if least[0] < doc and least.count(least[0]) == len(least):
+        return [(doc, first, first + len(least) - 1)]
+    out: list[tuple[int, int, int]] = []
+    for k, keeper in enumerate(least):
+        if keeper < doc:
+            if out and out[-1][2] == first + k - 1:
+                out[-1] = (doc, out[-1][1], first + k)
+            else:
+                out.append((doc, first + k, first + k))
+    return out
+
+
+def repeats(pieces: list[tuple[int, int, bytes]], min_words: int) -> list[tuple[int, int, int]]:
+    """(doc, first, last) windows to be removed, from pieces (doc, first window, text) with one anchor."""
+    texts: dict[bytes, int] = {}
+    for doc, _, text in pieces:
+        if doc < texts.get(text, doc + 1):
+            texts[text] = doc
+    least = keepers(texts, min_words)
+    out: list[tuple[int, int, int]] = []
+    for doc, first, text in pieces:
+        out += spans_below(doc, first, least[text])
+    return out
 
 
 def _flat(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
@@ -144,15 +168,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found).view(np.int64))], ["doc_id", "anchor"])
 
-    named = docs.mapInArrow(census, "doc_id long, anchor long")
+    named = written(docs.mapInArrow(census, "doc_id long, anchor long"), "census")
     often = named.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(named.join(often, "anchor").select("doc_id", "anchor", F.least("n", F.lit(group + 1)).cast("int").alias("n")), "anchors")
+    dropped(named)
 
     at_home = docs.where("doc_id is not null").repartition(shuffle_width(spark), "doc_id")
     by_doc = lambda part: part.groupBy("doc_id").agg(F.collect_set("anchor").alias("wanted"))
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [("anchor", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("piece", pa.binary())]
+        kinds = [("anchor", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("piece", pa.binary())]
         for batch in it:
             rows: list[tuple] = []
             for doc, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -160,7 +185,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 first, last, anchor = anchors(_HASHES.of(words), min_words, prefix)
                 mine = np.isin(anchor.view(np.int64), np.array(wanted, np.int64))
                 for a, b, h in zip(first[mine].tolist(), last[mine].tolist(), anchor[mine].view(np.int64).tolist(), strict=True):
-                    rows.append((h, doc, a, b, b" ".join(words[a : b + min_words])))
+                    rows.append((h, doc, a, b" ".join(words[a : b + min_words])))
                 if len(rows) >= _ROWS:
                     yield _flat(rows, kinds)
                     rows = []
@@ -171,7 +196,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         kinds = [("doc_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]
         now, held, out = None, [], []
         for batch in it:
-            for h, *piece in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for h, *piece in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if h != now:
                     if len(held) > 1:
                         out += repeats(held, min_words)
@@ -185,24 +210,35 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         yield _flat(out, kinds)
 
     def windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [("window", pa.binary()), ("doc_id", pa.int64()), ("at", pa.int32())]
+        kinds = [("window", pa.binary()), ("at", pa.int32()), ("piece", pa.binary()), ("low", pa.int64())]
         for batch in it:
             rows = []
-            for doc, first, last, piece in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+            for piece, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = piece.split(b" ")
-                rows += [(b" ".join(words[k : k + min_words]), doc, first + k) for k in range(last - first + 1)]
+                rows += [(b" ".join(words[k : k + min_words]), k, piece, low) for k in range(len(words) - min_words + 1)]
+            yield _flat(rows, kinds)
+
+    def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [("doc_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]
+        for batch in it:
+            rows: list[tuple] = []
+            for doc, first, least in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                rows += spans_below(doc, first, [x["keeper"] for x in least])
             yield _flat(rows, kinds)
 
-    piece_schema = "anchor long, doc_id long, first int, last int, piece binary"
+    piece_schema, span_schema = "anchor long, doc_id long, first int, piece binary", "doc_id long, first int, last int"
     pieces = lambda part: at_home.join(by_doc(part), "doc_id").select("doc_id", "text", "wanted").mapInArrow(cut, piece_schema)
     ordinary = pieces(shared.where(F.col("n") <= group))
-    marks = ordinary.repartition(shuffle_width(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(grow, "doc_id long, first int, last int")
+    marks = ordinary.repartition(shuffle_width(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(grow, span_schema)
     crowded = shared.where(F.col("n") > group)
     if not crowded.isEmpty():
-        each = pieces(crowded).mapInArrow(windows, "window binary, doc_id long, at int")
-        keepers = each.groupBy("window").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("top")).where("top > keeper").drop("top")
-        late = each.join(keepers, "window").where("doc_id > keeper")
-        marks = marks.unionByName(late.select("doc_id", F.col("at").alias("first"), F.col("at").alias("last")))
+        crowd = written(pieces(crowded).select("doc_id", "first", "piece"), "crowd")
+        texts = crowd.groupBy("piece").agg(F.min("doc_id").alias("low"))
+        each = written(texts.select("piece", "low").mapInArrow(windows, "window binary, at int, piece binary, low long"), "windows")
+        least = each.groupBy("window").agg(F.min("low").alias("keeper"))
+        # a text has as many windows as its anchor can be in, whatever the number of its copies
+        by_text = each.select("window", "at", "piece").join(least, "window").groupBy("piece").agg(F.sort_array(F.collect_list(F.struct("at", "keeper"))).alias("least"))
+        marks = marks.unionByName(crowd.join(by_text, "piece").select("doc_id", "first", "least").mapInArrow(apply, span_schema))
     found = marks.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
     def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
