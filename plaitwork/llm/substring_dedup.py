@@ -238,6 +238,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         least = each.groupBy("window").agg(F.min("low").alias("keeper"))
         # a text has as many windows as its anchor can be in, whatever the number of its copies
         by_text = each.select("window", "at", "piece").join(least, "window").groupBy("piece").agg(F.sort_array(F.collect_list(F.struct("at", "keeper"))).alias("least"))
+        by_text = written(by_text, "texts")  # a plain table, so that the join below may split a piece with very many copies
         marks = marks.unionByName(crowd.join(by_text, "piece").select("doc_id", "first", "least").mapInArrow(apply, span_schema))
     found = marks.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
