@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,18 +96,21 @@ def _header(number: int, samples: int) -> bytes:
     return head + bytes([crc8(head)])
 
 
-def encode_many(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
-    """One FLAC stream for each payload of unsigned 8-bit samples."""
-    out: list[bytes] = []
+def runs(sizes: list[int], most: int = TOGETHER) -> Iterator[tuple[int, int]]:
+    """Stretches (from, to) of items whose sizes add up to at most `most`, or of one item."""
     at = 0
-    while at < len(payloads):
-        upto, size = at, 0
-        while upto < len(payloads) and (upto == at or size + len(payloads[upto]) <= TOGETHER):
-            size += len(payloads[upto])
+    while at < len(sizes):
+        upto, total = at + 1, sizes[at]
+        while upto < len(sizes) and total + sizes[upto] <= most:
+            total += sizes[upto]
             upto += 1
-        out += _encode_some(payloads[at:upto], block)
+        yield at, upto
         at = upto
-    return out
+
+
+def encode_many(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
+    """One FLAC stream for each payload of unsigned 8-bit samples."""
+    return [x for a, b in runs([len(p) for p in payloads]) for x in _encode_some(payloads[a:b], block)]
 
 
 def _encode_some(payloads: list[bytes], block: int) -> list[bytes]:
@@ -274,16 +278,7 @@ def _frame(data: bytes, at: int, stream: Stream) -> _Frame:
 
 def decode_many(streams: list[bytes], check: bool = True) -> list[np.ndarray]:
     """The samples of each stream, as signed numbers."""
-    out: list[np.ndarray] = []
-    at = 0
-    while at < len(streams):
-        upto, size = at, 0
-        while upto < len(streams) and (upto == at or size + len(streams[upto]) <= TOGETHER):
-            size += len(streams[upto])
-            upto += 1
-        out += _decode_some(streams[at:upto], check)
-        at = upto
-    return out
+    return [x for a, b in runs([len(x) for x in streams]) for x in _decode_some(streams[a:b], check)]
 
 
 def _decode_some(streams: list[bytes], check: bool) -> list[np.ndarray]:
@@ -439,13 +434,20 @@ def feature(samples: np.ndarray) -> str:
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches that are handled together, so memory holds one slice in its various forms."""
+    for batch in batches:
+        for a, b in runs(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            yield batch.slice(a, b - a)
+
+
 def encode_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): each text as a FLAC stream; no shuffle."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            texts = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(encode_many([payload(t) for t in texts]), pa.binary())], ["doc_id", "n_bytes", "media"])
+        for part in _parts(it, 1):
+            texts = part.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(encode_many([payload(t) for t in texts]), pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(batches, "doc_id long, n_bytes long, media binary")
 
@@ -455,7 +457,7 @@ def read_back(media: DataFrame) -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
-        for batch in it:
+        for batch in _parts(it, 2):
             streams = batch.column(2).to_pylist()
             rows = []
             for data, x in zip(streams, decode_many(streams), strict=True):
