@@ -6,7 +6,7 @@ Deobfuscation: a chain of small transducers rewrites the text and keeps, for eve
 start and end of the source characters it stands for: (1) look-alike letters and digits become ASCII, invisible
 characters vanish; (2) at and dot in disguise (bracketed, or between spaces around a dot in disguise) become @ and .;
 (3) runs of spelled digits become digits.  The same detectors read the output, and each span found there is mapped
-back to source characters.  It is added if it overlaps no base span of its kind.  A text in which none of the
+back to source characters.  It is added unless a base span of its kind covers all of it.  A text in which none of the
 transducers has anything to do is not rewritten.
 
 Defined results: null counts as empty and has no span; offsets are code points, end exclusive; spans are ordered
@@ -219,7 +219,7 @@ def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str,
     out = {}
     for kind, spans in base_spans(tape.text).items():
         found = [tape.source(s) for s in spans]
-        fresh = [s for s in found if not any(a < s[1] and s[0] < b for a, b in base[kind])]
+        fresh = [s for s in found if not any(a <= s[0] and s[1] <= b for a, b in base[kind])]
         if fresh:
             out[kind] = sorted(set(fresh))
     return out

@@ -54,6 +54,22 @@ def test_disguises_map_back_to_the_source(text, kind, span):
     assert span not in pii.redacted(text, every)
 
 
+@pytest.mark.parametrize(("text", "span"), [
+    ("to jоhn.smith@example.com now", "jоhn.smith@example.com"),
+    ("to john@example.cоm now", "john@example.cоm"),
+    ("to john [dot] smith@example.com now", "john [dot] smith@example.com"),
+])
+def test_disguises_reach_beyond_base_spans(text, span):
+    base, every = pii.find(text)
+    assert len(base["email"]) == 1 and span in [text[a:b] for a, b in every["email"]]
+    assert pii.redacted(text, every) == "to [EMAIL] now"
+
+
+def test_added_spans_inside_base_spans_are_dropped():
+    base, every = pii.find("to jon@example.com and 1​92.168.0.1 now")
+    assert len(every["email"]) == len(base["email"]) == 1 and pii.find("jon@example.com one two")[1] == pii.base_spans("jon@example.com one two")
+
+
 @pytest.mark.parametrize("text", ["look at example.com ok", "we met at the dot there", "Привет, мир", "one two three", "in eins zwei at of the"])
 def test_prose_stays(text):
     assert not any(pii.find(text)[1].values())
