@@ -4,8 +4,8 @@ Base: four kinds of span are found in the text as it stands.
 
 Deobfuscation: a chain of small transducers rewrites the text and keeps, for every character of its output, the
 start and end of the source characters it stands for: (1) look-alike letters and digits become ASCII, invisible
-characters vanish; (2) at and dot in disguise (bracketed, or between spaces around a dot in disguise) become @ and .;
-(3) runs of spelled digits become digits.  The same detectors read the output, and each span found there is mapped
+characters vanish; (2) runs of spelled digits become digits, and dots between the four numbers of an address stay;
+(3) at and dot in disguise (bracketed, or between spaces around a dot in disguise) become @ and .  The same detectors read the output, and each span found there is mapped
 back to source characters.  It is added unless a base span of its kind covers all of it.  A text in which none of the
 transducers has anything to do is not rewritten.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -106,23 +107,33 @@ _SINGLE |= {chr(0x1D7CE + k): chr(ord("0") + k % 10) for k in range(50)}  # math
 _SINGLE |= {chr(first + k): chr(ord("0") + k) for first in (0x0660, 0x06F0, 0x0966) for k in range(10)}  # Arabic-Indic and Devanagari digits
 _SINGLE |= dict.fromkeys(INVISIBLE, "")
 _STRANGE = re.compile("[" + "".join(map(re.escape, _SINGLE)) + "]")
+# Signs that part words, as no identifier holds them (look-alikes of such signs are words of their own).
+_PARTING = "".join(map(re.escape, ",;:!?\"'()<>[]{}/\\|=*#~^`"))
+_PARTING += "".join(c for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c)[0] in "PS" and c not in _SINGLE) + "\U0001f000-\U0001faff"
+_PARTING_ALIKE = "".join(c for c, new in _SINGLE.items() if new and new in ",;:!?\"'()<>[]{}/\\|=*#~^`")
+_WORD = re.compile(rf"[^\s{_PARTING}{_PARTING_ALIKE}]+|[{_PARTING_ALIKE}]")
 
 # English names of the digits.
 DIGIT_NAMES = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _NAME = "(?:" + "|".join(DIGIT_NAMES) + ")"
 _JOIN = r"[ \-.,]{1,2}"
 _SPELLED = re.compile(rf"(?<![^\W_])(?:(?:plus|\+){_JOIN}?)?(?:{_NAME}|[0-9]+)(?:{_JOIN}(?:{_NAME}|[0-9]+))+(?![^\W_])", re.I)
-_SPELLED_HINT = re.compile(rf"(?<![^\W_]){_NAME}{_JOIN}{_NAME}(?![^\W_])", re.I)
+_SPELLED_HINT = re.compile(rf"(?<![^\W_])(?:{_NAME}[ \-.,]{{1,3}}(?:{_NAME}(?![^\W_])|[0-9])|[0-9][ \-.,]{{1,3}}{_NAME}(?![^\W_]))", re.I)
 _PART = re.compile(rf"{_NAME}|[0-9]|plus|\+", re.I)
 
 _OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
 _LABEL = r"[A-Za-z0-9-]+"
-_AT = rf"(?:[ ]{{0,2}}{_OPEN}[ ]?(?:at|@|arroba)[ ]?{_SHUT}[ ]{{0,2}}|[ ]@[ ]|[ ](?:at|AT)[ ])"
-_DOT = rf"(?:[ ]{{0,2}}{_OPEN}[ ]?(?:dot|\.|punto|point|punkt)[ ]?{_SHUT}[ ]{{0,2}}|[ ](?:dot|DOT)[ ])"
-_MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:{_DOT}[A-Za-z0-9._%+-]+)*(?P<at>{_AT}|@){_LABEL}(?:(?:{_DOT}|\.){_LABEL})+", re.I)
+_AT = rf"(?:[ ]{{0,2}}{_OPEN}[ ]?(?:at|@|arroba)[ ]?{_SHUT}[ ]{{0,2}}|[ ]@[ ]|[ ]at[ ])"
+_DOT = rf"(?:[ ]{{0,2}}{_OPEN}[ ]?(?:dot|\.|punto|point|punkt)[ ]?{_SHUT}[ ]{{0,2}}|[ ]dot[ ])"
+# A local part has at most 64 characters, so at most 31 dots.
+_MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:{_DOT}[A-Za-z0-9._%+-]+){{0,31}}(?P<at>{_AT}|@){_LABEL}(?:(?:{_DOT}|\.){_LABEL})+", re.I)
 _MAIL_HINT = re.compile(rf"{_OPEN} ?(?:at|@|arroba|dot|\.|punto|point|punkt) ?{_SHUT}|[ @](?:dot|at) | @ ", re.I)
 _AT_ONLY, _DOT_ONLY = re.compile(_AT, re.I), re.compile(_DOT, re.I)
-_NUMBER_DOTS = re.compile(rf"[0-9]+(?:{_DOT}[0-9]+){{3}}", re.I)
+_NUMBER_DOTS = re.compile(rf"(?<![0-9])[0-9]++(?:(?:{_DOT}|\.)[0-9]++){{3}}", re.I)
+_NUMBER = rf"(?:{_NAME}|[0-9]++)(?:[ \-,]{{1,2}}(?:{_NAME}|[0-9]++)){{0,7}}"
+_BETWEEN = rf"(?:{_DOT}|[ ]\.[ ]|\.)"
+_SPELLED_IP = re.compile(rf"(?<![^\W_]){_NUMBER}(?:{_BETWEEN}{_NUMBER}){{3}}(?![^\W_])", re.I)
+_BETWEEN_ONLY = re.compile(_BETWEEN, re.I)
 
 
 # Top-level domains with which at and dot, as mere words, make an address.
@@ -155,7 +166,7 @@ class Tape:
 def _look_alikes(text: str) -> list[tuple[int, int, str]]:
     """Only in words or numbers that also hold ASCII, or are digits and signs: text in another script stays as it is."""
     out = []
-    for m in re.finditer(r"\S+", text):
+    for m in _WORD.finditer(text):
         word = m[0]
         if _STRANGE.search(word):
             new = "".join(_SINGLE.get(c, c) for c in word)
@@ -186,8 +197,36 @@ def _disguises(text: str) -> list[tuple[int, int, str]]:
 
 
 def _spelled(text: str) -> list[tuple[int, int, str]]:
+    out, done = [], 0
+    for m in _SPELLED_IP.finditer(text):
+        edits = _spelled_ip(text, *m.span())
+        if edits:
+            out += _spelled_runs(text, done, m.start()) + edits
+            done = m.end()
+    return out + _spelled_runs(text, done, len(text))
+
+
+def _spelled_ip(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    """Edits that make an address of four numbers with dots between; none if no digit is spelled or a number is too large."""
+    dots = [d.span() for d in _BETWEEN_ONLY.finditer(text, start, end)]
+    edits, numbers = [], []
+    for a, b in zip([start] + [d[1] for d in dots], [d[0] for d in dots] + [end], strict=True):
+        parts = [(a + p.start(), a + p.end(), DIGIT_NAMES.get(p[0].lower(), p[0])) for p in _PART.finditer(text[a:b])]
+        numbers.append("".join(p[2] for p in parts))
+        at = a
+        for x, y, new in parts:
+            edits += [(at, x, "")] * (at < x) + [(x, y, new)]
+            at = y
+        if b < end:
+            edits.append((b, dots[len(numbers) - 1][1], "."))
+    if not ips(".".join(numbers)) or all(new == text[x:y] for x, y, new in edits if new and new != "."):
+        return []
+    return edits
+
+
+def _spelled_runs(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
     out = []
-    for m in _SPELLED.finditer(text):
+    for m in _SPELLED.finditer(text, start, end):
         parts = [(m.start() + p.start(), m.start() + p.end(), p[0].lower()) for p in _PART.finditer(m[0])]
         if sum(p[2] in DIGIT_NAMES for p in parts) < 2 or len(parts) < 7:
             continue
@@ -210,10 +249,9 @@ def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str,
     tape = Tape(text)
     if strange:
         tape.rewrite(_look_alikes(tape.text))
+    tape.rewrite(_spelled(tape.text))
     if strange or mail:
         tape.rewrite(_disguises(tape.text))
-    if strange or spelled:
-        tape.rewrite(_spelled(tape.text))
     if tape.text == text:
         return {}
     out = {}

@@ -65,6 +65,36 @@ def test_disguises_reach_beyond_base_spans(text, span):
     assert pii.redacted(text, every) == "to [EMAIL] now"
 
 
+@pytest.mark.parametrize(("text", "kind", "span"), [
+    ("at one nine two dot one six eight dot zero dot one ok", "ip", "one nine two dot one six eight dot zero dot one"),
+    ("at one nine two.one six eight.zero.one ok", "ip", "one nine two.one six eight.zero.one"),
+    ("at one nine two . one six eight . zero . one ok", "ip", "one nine two . one six eight . zero . one"),
+    ("at 192 dot one six eight [dot] zero.1 ok", "ip", "192 dot one six eight [dot] zero.1"),
+    ("at 10.0 dot 0 dot 7 ok", "ip", "10.0 dot 0 dot 7"),
+    ("«jоhn@ехample.com»", "email", "jоhn@ехample.com"),
+    ("“jоhn@ехample.com”—wie", "email", "jоhn@ехample.com"),
+    ("siehe „１９２.168.1.1“…", "ip", "１９２.168.1.1"),
+    ("l’adresse:jоhn@ехample.com,привет", "email", "jоhn@ехample.com"),
+    ("card four 1 one 1 one 1 one 1 one 1 one 1 one 1 one 1 ok", "card", "four 1 one 1 one 1 one 1 one 1 one 1 one 1 one 1"),
+    ("card 4 one 1 one 1 one 1 one 1 one 1 one 1 one 1 one ok", "card", "4 one 1 one 1 one 1 one 1 one 1 one 1 one 1 one"),
+])
+def test_disguises_in_any_order_and_between_signs(text, kind, span):
+    base, every = pii.find(text)
+    assert [text[a:b] for a, b in every[kind]] == [span] and not base[kind]
+
+
+@pytest.mark.parametrize("text", ["I count one. two. three. four", "one dot two dot three", "a 3 one b 5, two", "one two.300.zero.one", "«Привет», “мир” — да…"])
+def test_prose_of_digits_stays(text):
+    assert not any(pii.find(text)[1].values())
+
+
+def test_new_scans_take_linear_time():
+    for text in ("zero.one " * 12_000, "one two dot " * 9_000, "[dot] " + "1" * 100_000, "one 1" + "." * 100_000, "“а" * 40_000, "1 dot " * 20_000, "zero one dot " + "9" * 100_000):
+        began = time.perf_counter()
+        pii.find(text)
+        assert time.perf_counter() - began < 10
+
+
 def test_added_spans_inside_base_spans_are_dropped():
     base, every = pii.find("to jon@example.com and 1​92.168.0.1 now")
     assert len(every["email"]) == len(base["email"]) == 1 and pii.find("jon@example.com one two")[1] == pii.base_spans("jon@example.com one two")
