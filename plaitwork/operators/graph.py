@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,12 +79,14 @@ def pagerank(edges: DataFrame, iterations: int, reset: float = 0.15, normalize:
     return ranks.crossJoin(F.broadcast(total)).select("id", (F.col("rank") * F.col("scale")).alias("rank"))  # total is one row
 
 
-def pagerank_until(edges: DataFrame, tolerance: float, reset: float = 0.15, most: int = 200, normalize: bool = True) -> DataFrame:
-    """Dynamic PageRank: a vertex passes on its change only while the change is over the tolerance."""
+def pagerank_until(edges: DataFrame, tolerance: float, reset: float = 0.15, most: int | None = None, normalize: bool = True) -> DataFrame:
+    """Dynamic PageRank: a vertex passes on its change only while the change is over the tolerance.
+
+    Runs until no change is; `most` asks for so many rounds at most, whether or not changes are left."""
     links = cut(_weighted(edges))
     ids = cut(vertices_of(edges))
     state = cut(ids.select("id", F.lit(reset).alias("rank"), F.lit(reset).alias("delta")))
-    for _ in range(most):
+    for _ in count() if most is None else range(most):
         live = state.where(F.col("delta") > tolerance)
         if live.isEmpty():
             break
@@ -103,15 +106,16 @@ def rank_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg(F.sum(F.coalesce(F.pow(F.col("rank") - F.col("other"), 2), F.lit(0.0))).alias("difference"))
 
 
-def pregel(vertices: DataFrame, edges: DataFrame, first: Column, program: Callable[[Column, Column], Column], send: Column, towards: str, combine: Callable[[str], Column], rounds: int = 100) -> DataFrame:
+def pregel(vertices: DataFrame, edges: DataFrame, first: Column, program: Callable[[Column, Column], Column], send: Column, towards: str, combine: Callable[[str], Column], rounds: int | None = None) -> DataFrame:
     """A vertex-program loop: (id, attr).
 
     send is an expression of src_attr, dst_attr and attr (of the edge) that gives a message or null; towards is the end (src or
     dst) that gets it.  Messages of a vertex are combined by an aggregate of the column `message`; program makes the new
-    attribute from the old one and the message.  Vertices that got a message last round are active; the loop ends when none is."""
+    attribute from the old one and the message.  Vertices that got a message last round are active; the loop ends when none is.
+    With `rounds`, a loop that isn't done after so many is an error."""
     state = cut(vertices.select("id", program(F.col("attr"), first).alias("attr"), F.lit(True).alias("active")))
     edges = cut(edges)
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         src = state.select(F.col("id").alias("src"), F.col("attr").alias("src_attr"), F.col("active").alias("src_active"))
         dst = state.select(F.col("id").alias("dst"), F.col("attr").alias("dst_attr"), F.col("active").alias("dst_active"))
         seen = edges.join(src, "src").join(dst, "dst").where("src_active or dst_active")
@@ -119,16 +123,18 @@ def pregel(vertices: DataFrame, edges: DataFrame, first: Column, program: Callab
         new = F.when(F.col("message").isNotNull(), program(F.col("attr"), F.col("message"))).otherwise(F.col("attr"))
         state = cut(state.join(got, "id", "left").select("id", new.alias("attr"), F.col("message").isNotNull().alias("active")))
         if state.where("active").isEmpty():
-            break
-    return state.select("id", "attr")
+            return state.select("id", "attr")
+    raise RuntimeError(f"pregel: vertices are still active after {rounds} rounds")
 
 
 def shortest_paths_from(edges: DataFrame, source: int, weight: Column | None = None) -> DataFrame:
-    """(id, distance) of vertices that can be reached from the source; weights are 1 unless given."""
+    """(id, distance) of vertices that can be reached from the source; weights are 1 unless given.
+
+    A path has fewer edges than there are vertices, so a loop that goes on longer (a negative cycle) is an error."""
     weighted = edges.select("src", "dst", (weight if weight is not None else F.lit(1.0)).cast("double").alias("attr"))
     start = vertices_of(edges).withColumn("attr", F.when(F.col("id") == source, 0.0).otherwise(float("inf")))
     step = F.when(F.col("src_attr") + F.col("attr") < F.col("dst_attr"), F.col("src_attr") + F.col("attr"))
-    done = pregel(start, weighted, F.lit(float("inf")), lambda a, m: F.least(a, m), step, "dst", F.min)
+    done = pregel(start, weighted, F.lit(float("inf")), lambda a, m: F.least(a, m), step, "dst", F.min, max(1, start.count()))
     return done.where(F.col("attr") < float("inf")).select("id", F.col("attr").alias("distance"))
 
 

@@ -1,3 +1,5 @@
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +43,20 @@ def test_dynamic_pagerank_nears_the_static_one(spark, edges):
     assert all(abs(a[k] - b[k]) < 1e-2 for k in a)
 
 
+def test_loops_that_do_not_end_are_errors(spark, edges):
+    with pytest.raises(RuntimeError, match="still active"):
+        graph.shortest_paths_from(edges, 3, F.lit(-1.0))
+    one = (graph.vertices_of(edges, F.lit(9.0)), edges, F.lit(9.0), lambda a, m: F.least(a, m), F.col("src_attr") - 1, "dst", F.min)
+    with pytest.raises(RuntimeError, match="after 2 rounds"):
+        graph.pregel(*one, rounds=2)
+
+
+def test_loops_have_no_cap_of_their_own():
+    """Chains of over 100 hops take minutes here, so only the defaults are held."""
+    assert inspect.signature(graph.pagerank_until).parameters["most"].default is None
+    assert inspect.signature(graph.pregel).parameters["rounds"].default is None
+
+
 def test_triplets_and_svd(spark, edges):
     v = graph.vertices_of(edges, F.lit(7))
     assert graph.triplets(v, edges).where("src_attr = 7 and dst_attr = 7").count() == len(EDGES)
