@@ -51,12 +51,33 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(table: DataFrame) -> None:
-    """Delete a table that written() made, once nothing reads it any more."""
-    spark = table.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0]).getParent() if table.inputFiles() else None
-    if folder is not None:
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """written(), dealt by key: joins and groups by key need no shuffle of this table."""
+    spark = df.sparkSession
+    name, width = f"{label}_{uuid.uuid4().hex}", shuffle_width(spark)
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    df.repartition(width, key).write.bucketBy(width, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
+#: At most this many hot keys are named in a broadcast.
+HOT_KEYS = 10_000
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, least: int = 4096) -> DataFrame:
+    """many joined with one, a table that has each key once and in `copies` its number of rows in many.
+
+    Keys of over T rows, where T is the larger of `least` and all rows / HOT_KEYS, are split into shares of about T rows.  There
+    are fewer than HOT_KEYS such keys, so what is broadcast, two numbers for each, is bounded whatever the tables' sizes."""
+    total = one.agg(F.sum("copies")).first()[0] or 0
+    share = max(least, -(-total // HOT_KEYS))
+    hot = one.where(F.col("copies") > share).groupBy(F.xxhash64(key).alias("_hot")).agg(F.max(F.ceil(F.col("copies") / share)).cast("int").alias("_shares"))
+    hot = F.broadcast(hot)
+    left = many.join(hot, F.xxhash64(many[key]) == hot["_hot"], "left")
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(*many.columns), F.coalesce("_shares", F.lit(1)))).drop("_hot", "_shares")
+    right = one.drop("copies").join(hot, F.xxhash64(one[key]) == hot["_hot"], "left")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))).drop("_hot", "_shares")
+    return left.join(right, [key, "_salt"]).drop("_salt")
 
 
 def shuffle_width(spark: SparkSession) -> int:

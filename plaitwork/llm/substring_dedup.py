@@ -3,16 +3,19 @@
 Words are the letters of a suffix.  A repeat counts if it is at least MIN_WORDS words long, so only suffixes whose first
 MIN_WORDS words also stand in another document matter.
 
-1. Prefixes.  Every window of MIN_WORDS words names its least run of PREFIX words (by hash, leftmost) as its anchor.  Equal
-   windows have equal anchors, and neighbouring windows mostly share one.  Anchors are counted over all documents
-   (with map-side combining); those in one document alone lead to no repeat and are left out.
-2. Groups.  All windows of an anchor go to one group, in the form of one piece of text per document and anchor.  An anchor
-   that has over GROUP pieces is split by longer prefixes: its windows are keyed by their own first MIN_WORDS words.
-3. Subtrees.  A group of one anchor is small enough for memory.  Its suffixes are sorted; the lengths of common prefixes of
+1. Home.  Every window of MIN_WORDS words names its least run of PREFIX words (by hash, leftmost) as its anchor.  Equal
+   windows have equal anchors, and neighbouring windows mostly share one: such a stretch of windows is a piece.  Texts, with
+   the anchors of their pieces, are dealt by document id once and written as a bucketed table, so that no later step moves them.
+2. Prefixes.  Documents and pieces of each anchor are counted (with map-side combining).  Anchors of one document alone lead to no
+   repeat and are left out.
+3. Groups.  All pieces of an anchor go to one group.  An anchor that has over GROUP pieces, in however few documents, is split
+   by longer prefixes: equal pieces fold where they are, and the windows of those that differ are keyed by their own MIN_WORDS words.
+4. Subtrees.  A group of one anchor is small enough for memory.  Its suffixes are sorted whole; the lengths of common prefixes of
    neighbours give the internal nodes of its suffix tree.  A node at a depth of MIN_WORDS or more is a repeat, maximal to the
    right by its depth; its least document keeps it and it is removed from the others.  A window with the longer key is a node
-   already: the least document of each is one aggregate with map-side combining, which no number of copies outgrows.
-4. What is removed from a document meets its text again by document id.
+   already: the least document of each is one aggregate with map-side combining, which no number of copies outgrows.  Rows of
+   one hot piece or window meet that least document in as many salted shares as their number asks for.
+5. What is removed from a document meets its text at home.
 
 Texts are compared by their words, hashes only say what to compare.
 
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +39,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plaitwork.llm.bpe import Memo
-from plaitwork.llm.common import dropped, shuffle_width, whole_text, written
+from plaitwork.llm.common import bucketed, shuffle_width, spread_join, whole_text, written
 
 MIN_WORDS = 13
 PREFIX = 5
 GROUP = 4096
 _ROWS = 20_000
+#: Bytes of text that leave a task together.
+_BYTES = 8_000_000
+_HOME = "doc_id long, line binary, anchors binary, firsts binary"
+_SPOTS = pa.list_(pa.struct([("doc_id", pa.int64()), ("first", pa.int32())]))
+_NOTHING = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
 class WordHashes:
@@ -71,8 +80,7 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
 def anchors(words: np.ndarray, min_words: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of windows with one anchor: first window, last window and hash of the anchor of each."""
     if len(words) < min_words:
-        empty = np.zeros(0, np.int64)
-        return empty, empty, np.zeros(0, np.uint64)
+        return _NOTHING
     runs = run_hashes(words, prefix)
     views = np.lib.stride_tricks.sliding_window_view(runs, min_words - prefix + 1)
     at = views.argmin(axis=1) + np.arange(len(views))
@@ -110,11 +118,11 @@ def keepers(texts: dict[bytes, int], min_words: int) -> dict[bytes, list[int]]:
     entries = []
     for text, low in texts.items():
         words = text.split(b" ")
-        entries += [(tuple(words[k : k + min_words]), low, text, k) for k in range(len(words) - min_words + 1)]
+        entries += [(tuple(words[k:]), low, text, k) for k in range(len(words) - min_words + 1)]
     entries.sort()
     out = {text: [low] * (text.count(b" ") + 2 - min_words) for text, low in texts.items()}
     for _, lo, hi in internal_nodes([e[0] for e in entries], min_words):
-        least = entries[lo][1]
+        least = min(e[1] for e in entries[lo:hi])
         for _, _, text, k in entries[lo:hi]:
             out[text][k] = least
     return out
@@ -154,42 +162,72 @@ def _flat(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordB
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
     """One row per row of df: doc_id, n_words, n_removed, kept_sha256, kept (the text that is left, words joined by a space)."""
-    spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
 
-    def census(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prepare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [("doc_id", pa.int64()), ("line", pa.binary()), ("anchors", pa.binary()), ("firsts", pa.binary())]
         for batch in it:
-            ids, found = [], []
+            rows, size = [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if doc is not None:
-                    own = np.unique(anchors(_HASHES.of(text.encode().split()), min_words, prefix)[2])
-                    ids.append(np.full(len(own), doc, np.int64))
-                    found.append(own)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found).view(np.int64))], ["doc_id", "anchor"])
+                words = text.encode().split()
+                first, _, anchor = anchors(_HASHES.of(words), min_words, prefix) if doc is not None else _NOTHING
+                rows.append((doc, b" ".join(words), anchor.tobytes(), first.astype(np.int32).tobytes()))
+                size += len(text)
+                if size >= _BYTES:
+                    yield _flat(rows, kinds)
+                    rows, size = [], 0
+            yield _flat(rows, kinds)
 
-    named = written(docs.mapInArrow(census, "doc_id long, anchor long"), "census")
-    often = named.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(named.join(often, "anchor").select("doc_id", "anchor", F.least("n", F.lit(group + 1)).cast("int").alias("n")), "anchors")
-    dropped(named)
+    home = bucketed(docs.where("doc_id is not null").mapInArrow(prepare, _HOME), "doc_id", "home")
 
-    at_home = docs.where("doc_id is not null").repartition(shuffle_width(spark), "doc_id")
-    by_doc = lambda part: part.groupBy("doc_id").agg(F.collect_set("anchor").alias("wanted"))
+    def census(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            ids, found, pieces = [], [], []
+            for doc, anchor in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own, n = np.unique(np.frombuffer(anchor, np.int64), return_counts=True)
+                ids.append(np.full(len(own), doc, np.int64))
+                found.append(own)
+                pieces.append(n.astype(np.int32))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found)), pa.array(np.concatenate(pieces))], ["doc_id", "anchor", "pieces"])
+
+    named = home.select("doc_id", "anchors").mapInArrow(census, "doc_id long, anchor long, pieces int")
+    often = named.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("pieces").alias("pieces")).where("n > 1")
+    met = named.select("doc_id", "anchor").join(often.select("anchor", (F.col("pieces") > group).alias("crowd")), "anchor")
+    wanted = bucketed(met.groupBy("doc_id", "crowd").agg(F.collect_list("anchor").alias("wanted")), "doc_id", "wanted")
+
+    def found_in(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes]]:
+        """(anchor, document, first window, text) of the wanted pieces of a batch of documents."""
+        for doc, line, anchor, first, wanted in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            words, anchor, first = line.split(b" "), np.frombuffer(anchor, np.int64), np.frombuffer(first, np.int32)
+            last = np.concatenate((first[1:], [len(words) - min_words + 1])) - 1
+            mine = np.isin(anchor, np.array(wanted, np.int64))
+            for h, a, b in zip(anchor[mine].tolist(), first[mine].tolist(), last[mine].tolist(), strict=True):
+                yield h, doc, a, b" ".join(words[a : b + min_words])
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [("anchor", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("piece", pa.binary())]
+        rows: list[tuple] = []
+        for row in chain.from_iterable(map(found_in, it)):
+            rows.append(row)
+            if len(rows) >= _ROWS:
+                yield _flat(rows, kinds)
+                rows = []
+        yield _flat(rows, kinds)
+
+    def fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Equal pieces of a task leave it as one row with the places where they stand."""
+        kinds = [("piece", pa.binary()), ("low", pa.int64()), ("spots", _SPOTS)]
+        spots: dict[bytes, list[tuple[int, int]]] = {}
+        held = 0
         for batch in it:
-            rows: list[tuple] = []
-            for doc, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                words = text.encode().split()
-                first, last, anchor = anchors(_HASHES.of(words), min_words, prefix)
-                mine = np.isin(anchor.view(np.int64), np.array(wanted, np.int64))
-                for a, b, h in zip(first[mine].tolist(), last[mine].tolist(), anchor[mine].view(np.int64).tolist(), strict=True):
-                    rows.append((h, doc, a, b" ".join(words[a : b + min_words])))
-                if len(rows) >= _ROWS:
-                    yield _flat(rows, kinds)
-                    rows = []
-            yield _flat(rows, kinds)
+            for _, doc, first, text in found_in(batch):
+                spots.setdefault(text, []).append((doc, first))
+                held += 1
+                if held >= _ROWS:
+                    yield _flat([(t, min(own)[0], [{"doc_id": d, "first": f} for d, f in own]) for t, own in spots.items()], kinds)
+                    spots, held = {}, 0
+        yield _flat([(t, min(own)[0], [{"doc_id": d, "first": f} for d, f in own]) for t, own in spots.items()], kinds)
 
     def grow(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by anchor: one subtree after the other."""
@@ -222,43 +260,55 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         kinds = [("doc_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]
         for batch in it:
             rows: list[tuple] = []
-            for doc, first, least in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                rows += spans_below(doc, first, [x["keeper"] for x in least])
+            for spots, least in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                keepers = [x["keeper"] for x in least]
+                for spot in spots:
+                    rows += spans_below(spot["doc_id"], spot["first"], keepers)
+                if len(rows) >= _ROWS:
+                    yield _flat(rows, kinds)
+                    rows = []
             yield _flat(rows, kinds)
 
-    piece_schema, span_schema = "anchor long, doc_id long, first int, piece binary", "doc_id long, first int, last int"
-    pieces = lambda part: at_home.join(by_doc(part), "doc_id").select("doc_id", "text", "wanted").mapInArrow(cut, piece_schema)
-    ordinary = pieces(shared.where(F.col("n") <= group))
-    marks = ordinary.repartition(shuffle_width(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(grow, span_schema)
-    crowded = shared.where(F.col("n") > group)
-    if not crowded.isEmpty():
-        crowd = written(pieces(crowded).select("doc_id", "first", "piece"), "crowd")
-        texts = crowd.groupBy("piece").agg(F.min("doc_id").alias("low"))
+    def asked(crowd: bool) -> DataFrame:
+        mine = wanted.where(F.col("crowd") == crowd).select("doc_id", "wanted")
+        return home.join(mine, "doc_id").select("doc_id", "line", "anchors", "firsts", "wanted")
+
+    span_schema = "doc_id long, first int, last int"
+    ordinary = asked(False).mapInArrow(cut, "anchor long, doc_id long, first int, piece binary")
+    marks = ordinary.repartition(shuffle_width(df.sparkSession), "anchor").sortWithinPartitions("anchor").mapInArrow(grow, span_schema)
+    if not wanted.where("crowd").isEmpty():
+        crowd = written(asked(True).mapInArrow(fold, "piece binary, low long, spots array<struct<doc_id:long,first:int>>"), "crowd")
+        texts = written(crowd.groupBy("piece").agg(F.min("low").alias("low"), F.count(F.lit(1)).alias("copies")), "texts")
         each = written(texts.select("piece", "low").mapInArrow(windows, "window binary, at int, piece binary, low long"), "windows")
-        least = each.groupBy("window").agg(F.min("low").alias("keeper"))
+        least = written(each.groupBy("window").agg(F.min("low").alias("keeper"), F.count(F.lit(1)).alias("copies")), "least")
         # a text has as many windows as its anchor can be in, whatever the number of its copies
-        by_text = each.select("window", "at", "piece").join(least, "window").groupBy("piece").agg(F.sort_array(F.collect_list(F.struct("at", "keeper"))).alias("least"))
-        by_text = written(by_text, "texts")  # a plain table, so that the join below may split a piece with very many copies
-        marks = marks.unionByName(crowd.join(by_text, "piece").select("doc_id", "first", "least").mapInArrow(apply, span_schema))
+        by_text = spread_join(each.select("window", "at", "piece"), least, "window").groupBy("piece").agg(F.sort_array(F.collect_list(F.struct("at", "keeper"))).alias("least"))
+        by_text = written(by_text.join(texts.select("piece", "copies"), "piece"), "keepers")
+        marks = marks.unionByName(spread_join(crowd.select("piece", "spots"), by_text, "piece").select("spots", "least").mapInArrow(apply, span_schema))
     found = marks.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
     def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]
         for batch in it:
-            rows = []
-            for doc, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                words = text.encode().split()
-                edge = np.zeros(len(words) + 1, np.int64)
-                for s in spans or ():
-                    if s["last"] + min_words <= len(words):
-                        edge[s["first"]] += 1
-                        edge[s["last"] + min_words] -= 1
-                stay = np.cumsum(edge[:-1]) == 0
-                kept = b" ".join(w for w, s in zip(words, stay.tolist(), strict=True) if s) if spans else b" ".join(words)
-                rows.append((doc, len(words), int(len(words) - stay.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
+            rows, size = [], 0
+            for doc, line, spans in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                words = line.split(b" ") if line else []
+                kept, removed = line, 0
+                if spans:
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    for s in spans:
+                        if s["last"] + min_words <= len(words):
+                            edge[s["first"]] += 1
+                            edge[s["last"] + min_words] -= 1
+                    stay = np.cumsum(edge[:-1]) == 0
+                    kept, removed = b" ".join(compress(words, stay.tolist())), int(len(words) - stay.sum())
+                rows.append((doc, len(words), removed, hashlib.sha256(kept).hexdigest(), kept.decode()))
+                size += len(kept)
+                if size >= _BYTES:
+                    yield _flat(rows, kinds)
+                    rows, size = [], 0
             yield _flat(rows, kinds)
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
-    all_rows = at_home.join(found, "doc_id", "left").select("doc_id", "text", "spans")
-    nameless = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<first:int,last:int>>").alias("spans"))
-    return all_rows.unionByName(nameless).mapInArrow(keep, schema)
+    all_rows = home.select("doc_id", "line").join(found, "doc_id", "left").select("doc_id", "line", "spans")
+    nameless = docs.where("doc_id is null").mapInArrow(prepare, _HOME).select("doc_id", "line", F.lit(None).cast("array<struct<first:int,last:int>>").alias("spans"))
+    return all_rows.unionByName(nameless).mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

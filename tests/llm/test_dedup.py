@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from plaitwork.llm import exact_dedup, simhash, substring_dedup
+from plaitwork.llm.common import spread_join
 from plaitwork.llm.components import components
 
 
@@ -148,6 +149,22 @@ def test_substrings(edge_docs, made, group):
         assert got == brute_windows(rows)
 
 
+def test_one_line_very_often_in_two_documents(spark):
+    """Over 100,000 pieces of few anchors: split by pieces, though only two documents hold them."""
+    line = "all work and no play makes a dull page "
+    rows = [(7, "an opening of its own " + line * 100_000), (3, line * 100_000 + "the end"), (5, "nothing " * 5 + "shared here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r)[:4] for r in substring_dedup.remove_repeats(df).collect()), key=str) == brute_windows(rows)
+
+
+@pytest.mark.parametrize("least", [1, 3, 4096])
+def test_spread_joins_lose_nothing(spark, least):
+    many = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(200)], "k int, v int")
+    one = many.groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.max("v").alias("top"))
+    got = sorted(map(tuple, spread_join(many, one, "k", least).select("k", "v", "top").collect()))
+    assert got == sorted(map(tuple, many.join(one, "k").select("k", "v", "top").collect())) and len(got) == 200
+
+
 def test_substrings_of_nothing(no_docs):
     assert substring_dedup.remove_repeats(no_docs).count() == 0
 
