@@ -56,7 +56,7 @@ def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     spark = df.sparkSession
     name, width = f"{label}_{uuid.uuid4().hex}", shuffle_width(spark)
     path = f"{shared_dir(spark).rstrip('/')}/{name}"
-    df.repartition(width, key).write.bucketBy(width, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    df.repartition(width, key).write.bucketBy(width, key).option("path", path).saveAsTable(name)
     return spark.table(name)
 
 

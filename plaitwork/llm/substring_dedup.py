@@ -194,7 +194,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = home.select("doc_id", "anchors").mapInArrow(census, "doc_id long, anchor long, pieces int")
     often = named.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("pieces").alias("pieces")).where("n > 1")
     met = named.select("doc_id", "anchor").join(often.select("anchor", (F.col("pieces") > group).alias("crowd")), "anchor")
-    wanted = bucketed(met.groupBy("doc_id", "crowd").agg(F.collect_list("anchor").alias("wanted")), "doc_id", "wanted")
+    wanted = written(met.groupBy("doc_id", "crowd").agg(F.collect_list("anchor").alias("wanted")), "wanted")
 
     def found_in(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes]]:
         """(anchor, document, first window, text) of the wanted pieces of a batch of documents."""
@@ -277,9 +277,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ordinary = asked(False).mapInArrow(cut, "anchor long, doc_id long, first int, piece binary")
     marks = ordinary.repartition(shuffle_width(df.sparkSession), "anchor").sortWithinPartitions("anchor").mapInArrow(grow, span_schema)
     if not wanted.where("crowd").isEmpty():
-        crowd = written(asked(True).mapInArrow(fold, "piece binary, low long, spots array<struct<doc_id:long,first:int>>"), "crowd")
+        crowd = written(asked(True).mapInArrow(fold, "piece binary, low long, spots array<struct<doc_id:long,first:int>>").hint("rebalance"), "crowd")
         texts = written(crowd.groupBy("piece").agg(F.min("low").alias("low"), F.count(F.lit(1)).alias("copies")), "texts")
-        each = written(texts.select("piece", "low").mapInArrow(windows, "window binary, at int, piece binary, low long"), "windows")
+        each = texts.select("piece", "low").mapInArrow(windows, "window binary, at int, piece binary, low long")
         least = written(each.groupBy("window").agg(F.min("low").alias("keeper"), F.count(F.lit(1)).alias("copies")), "least")
         # a text has as many windows as its anchor can be in, whatever the number of its copies
         by_text = spread_join(each.select("window", "at", "piece"), least, "window").groupBy("piece").agg(F.sort_array(F.collect_list(F.struct("at", "keeper"))).alias("least"))
