@@ -263,7 +263,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for spots, least in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
                 keepers = [x["keeper"] for x in least]
                 for spot in spots:
-                    rows += spans_below(spot["doc_id"], spot["first"], keepers)
+                    for doc, first, last in spans_below(spot["doc_id"], spot["first"], keepers):
+                        if rows and rows[-1][0] == doc and rows[-1][1] <= first <= rows[-1][2] + min_words:
+                            rows[-1] = (doc, rows[-1][1], last)  # the words of both are one stretch
+                        else:
+                            rows.append((doc, first, last))
                 if len(rows) >= _ROWS:
                     yield _flat(rows, kinds)
                     rows = []
