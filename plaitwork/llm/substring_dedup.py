@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plaitwork.llm.bpe import Memo
-from plaitwork.llm.common import bucketed, shuffle_width, spread_join, whole_text, written
+from plaitwork.llm.common import SEPARATORS, bucketed, shuffle_width, spread_join, whole_text, written
 
 MIN_WORDS = 13
 PREFIX = 5
@@ -314,5 +314,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield _flat(rows, kinds)
 
     all_rows = home.select("doc_id", "line").join(found, "doc_id", "left").select("doc_id", "line", "spans")
-    nameless = docs.where("doc_id is null").mapInArrow(prepare, _HOME).select("doc_id", "line", F.lit(None).cast("array<struct<first:int,last:int>>").alias("spans"))
+    line = F.trim(F.translate("text", SEPARATORS, " " * len(SEPARATORS)))
+    line = F.regexp_replace(line, " +", " ").cast("binary").alias("line")
+    nameless = docs.where("doc_id is null").select("doc_id", line, F.lit(None).cast("array<struct<first:int,last:int>>").alias("spans"))
     return all_rows.unionByName(nameless).mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

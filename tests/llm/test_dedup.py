@@ -152,7 +152,7 @@ def test_substrings(edge_docs, made, group):
 def test_one_line_very_often_in_two_documents(spark):
     """Over 100,000 pieces of few anchors: split by pieces, though only two documents hold them."""
     line = "all work and no play makes a dull page "
-    rows = [(7, "an opening of its own " + line * 100_000), (3, line * 100_000 + "the end"), (5, "nothing " * 5 + "shared here")]
+    rows = [(7, "an opening of its own " + line * 100_000), (3, line * 100_000 + "the end"), (5, "nothing " * 5 + "shared here"), (None, "\t a\x0b\x0cnull id \r\n " + line * 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(r)[:4] for r in substring_dedup.remove_repeats(df).collect()), key=str) == brute_windows(rows)
 
