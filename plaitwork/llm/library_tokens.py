@@ -1,7 +1,7 @@
 """Token ids by the public ``tokenizers`` library, with a memo of what it gave for each chunk of text.
 
 The library is asked once for a chunk that stands between spaces, then the ids are taken from a bounded
-memo.  Texts that can't be cut there (odd white space, special tokens, letters outside the Latin blocks)
+memo.  The new chunks of a batch are put to it in one line and its answer is cut where a word begins or ends.  Texts that can't be cut there (odd white space, special tokens, letters outside the Latin blocks)
 go to the library whole, so the ids are its own in every case.
 """
 
@@ -11,6 +11,7 @@ import json
 import os
 import unicodedata
 from array import array
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -21,6 +22,8 @@ from plaitwork.llm.bpe import BYTE_LEVEL_PATTERN, MEMO_ENTRIES, Memo, byte_alpha
 # Fixed value: the pre-tokenizer pattern in the word-end vocabulary's file.
 WORD_END_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BEYOND_LATIN = regex.compile("[^\x00-ɏ‐-‧]")
+#: Characters of text that are looked through for new chunks, and chunks of one call of the library.
+_AHEAD, _LINE = 2_000_000, 20_000
 
 
 class LibraryTokens:
@@ -40,6 +43,10 @@ class LibraryTokens:
         self.word_ends = bool(spec["model"].get("end_of_word_suffix"))
         self.pattern = regex.compile(WORD_END_PATTERN if self.word_ends else BYTE_LEVEL_PATTERN)
         self.stand_in = dict(enumerate(byte_alphabet()))
+        ends, space = spec["model"].get("end_of_word_suffix"), self.stand_in[ord(" ")]
+        self.marks = np.zeros(1 + max([*spec["model"]["vocab"].values(), *(a["id"] for a in spec["added_tokens"])]), bool)
+        for token, i in spec["model"]["vocab"].items():
+            self.marks[i] = token.endswith(ends) if ends else token.startswith(space)
         self.pieces = Memo(self._piece, memo_entries)
         self.chunks = Memo(self._chunk, memo_entries)
 
@@ -47,18 +54,59 @@ class LibraryTokens:
         return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.stand_in))]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if not chunk.isascii():
-            if _BEYOND_LATIN.search(chunk):
-                return self._whole(chunk if self.word_ends else " " + chunk)
-            if self.word_ends:
-                chunk = unicodedata.normalize("NFC", chunk)
+        if not chunk.isascii() and _BEYOND_LATIN.search(chunk):
+            return self._whole(chunk if self.word_ends else " " + chunk)
         if self.word_ends:
-            chunk = chunk.lower()
-            found = (chunk,) if chunk.isalpha() else self.pattern.findall(chunk)
+            found = self._found(chunk)
         else:
             found = (" " + chunk,) if chunk.isalpha() else self.pattern.findall(" " + chunk)
         return b"".join(map(self.pieces.__getitem__, found))
 
+    def _line(self, parts: list[str], marks: np.ndarray, first: bool) -> list[bytes] | None:
+        """Ids of each of the parts, from one call for all of them; marks: ids that are first (or last) in a part."""
+        ids = np.array(self.tokenizer.encode(("" if self.word_ends else " ") + " ".join(parts), add_special_tokens=False).ids, "<u4")
+        at = np.flatnonzero(marks[ids]) + (not first)
+        if len(at) != len(parts):
+            return None
+        cuts = [*at.tolist(), len(ids)] if first else [0, *at.tolist()]
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def learn(self, chunks: Iterable[str]) -> None:
+        """Put new chunks into the memo, or with word ends their pieces."""
+        memo = self.pieces if self.word_ends else self.chunks
+        if self.word_ends:
+            new = [c for c in chunks if c not in self.chunks and c not in self.chunks.older and not _BEYOND_LATIN.search(c)]
+            chunks = set(chain.from_iterable(map(self._found, new)))
+        new = [c for c in chunks if c and c not in memo and c not in memo.older and "\n" not in c and not _BEYOND_LATIN.search(c)]
+        for k in range(0, len(new), _LINE):
+            parts = new[k : k + _LINE]
+            for c, ids in zip(parts, self._line(parts, self.marks, not self.word_ends) or (), strict=False):
+                memo.put(c, ids)
+
+    def _found(self, chunk: str) -> tuple[str, ...] | list[str]:
+        """The pieces of a chunk between spaces, without letters beyond Latin ones, for word ends."""
+        chunk = (chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)).lower()
+        return (chunk,) if chunk.isalpha() else self.pattern.findall(chunk)
+
+    def ids_of(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """ids() of each text in turn."""
+        at = 0
+        while at < len(texts):
+            upto, size, chunks = at, 0, set()
+            while upto < len(texts) and size < _AHEAD:
+                if self.word_ends or cuts_at_spaces(texts[upto]):
+                    chunks.update(self._spaced(texts[upto]) if self.word_ends else texts[upto].split(" ")[1:])
+                size += len(texts[upto])
+                upto += 1
+            self.learn(chunks)
+            yield from map(self.ids, texts[at:upto])
+            at = upto
+
+    @staticmethod
+    def _spaced(text: str) -> list[str]:
+        return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -66,7 +114,7 @@ class LibraryTokens:
         if any(s in text for s in self.specials):
             raw = self._whole(text)
         elif self.word_ends:
-            raw = self._whole(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else b"".join(map(self.chunks.__getitem__, (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")))
+            raw = self._whole(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else b"".join(map(self.chunks.__getitem__, self._spaced(text)))
         elif cuts_at_spaces(text):
             first, *rest = text.split(" ")
             raw = b"".join(chain((self._whole(first),) if first else (), map(self.chunks.__getitem__, rest)))

@@ -90,8 +90,8 @@ def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         end = np.array([end_id], "<u4")
         for batch in it:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.concatenate((tokens.ids(text), end))
+            for doc_id, own in zip(batch.column(0).to_pylist(), tokens.ids_of(batch.column(1).to_pylist()), strict=True):
+                ids = np.concatenate((own, end))
                 for at in range(0, len(ids), length):
                     part = ids[at : at + length]
                     rows.append((doc_id, at, len(part), zlib.crc32(part.tobytes()), len(ids)))

@@ -19,6 +19,7 @@ raises TokenFileError; columns other than id and text are left out.
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -303,8 +304,8 @@ def write_ids(df: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id
             written_ids += whole
 
         for batch in it:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.concatenate((tokens.ids(text), end))
+            for doc, own in zip(batch.column(0).to_pylist(), tokens.ids_of(batch.column(1).to_pylist()), strict=True):
+                ids = np.concatenate((own, end))
                 docs.append((doc, start, len(ids)))
                 start += len(ids)
                 waiting.append(ids)
@@ -319,28 +320,36 @@ def write_ids(df: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id
     return written(in_order.mapInArrow(batches, ROW), "token-ids")
 
 
+@functools.cache
+def _zero_bytes(power: int) -> list[list[int]]:
+    """What 2**power zero bytes make of a CRC-32: a table for each of its four bytes."""
+    if power:
+        half = _zero_bytes(power - 1)
+        step = lambda crc: _through(half, _through(half, crc))
+    else:
+        step = lambda crc: zlib.crc32(b"\0", crc ^ 0xFFFFFFFF) ^ 0xFFFFFFFF  # noqa: E731  no inversion before and after
+    bits = [step(1 << k) for k in range(32)]
+    tables = []
+    for byte in range(4):
+        table = [0]
+        for bit in bits[8 * byte : 8 * byte + 8]:
+            table += [bit ^ x for x in table]
+        tables.append(table)
+    return tables
+
+
+def _through(tables: list[list[int]], crc: int) -> int:
+    return tables[0][crc & 255] ^ tables[1][crc >> 8 & 255] ^ tables[2][crc >> 16 & 255] ^ tables[3][crc >> 24]
+
+
 def crc32_joined(first: int, second: int, size: int) -> int:
     """CRC-32 of two byte strings put together, from the CRC-32 of each and the second's length."""
-    poly = 0xEDB88320
-    times = lambda matrix, vector: _xor(m for k, m in enumerate(matrix) if vector >> k & 1)
-    matrix = [poly] + [1 << k for k in range(31)]  # one zero bit
-    for _ in range(3):
-        matrix = [times(matrix, m) for m in matrix]  # two, four, eight zero bits
-    while size:
-        if size & 1:
-            first = times(matrix, first)
-        matrix = [times(matrix, m) for m in matrix]
-        size >>= 1
+    for power in range(size.bit_length()):
+        if size >> power & 1:
+            first = _through(_zero_bytes(power), first)
     return first ^ second
 
 
-def _xor(values) -> int:
-    out = 0
-    for v in values:
-        out ^= v
-    return out
-
-
 def read_documents(blocks: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the coded blocks alone."""
 
