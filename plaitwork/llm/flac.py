@@ -3,10 +3,12 @@
 Frames of many streams are handled together: each numpy step takes one sample (or two bytes of a checksum) of every
 frame, so the work is in proportion to the samples whatever the streams' number and lengths.
 
-Encoder: mono, 8 bits, blocks of BLOCK samples, a fixed linear predictor of order 0 to 2 (the one with the least sum of
-absolute residuals), one Rice parameter per frame, STREAMINFO with the MD5 of the samples, and a SEEKTABLE with a
-point for each frame.  Decoder: mono, 8 to 24 bits, constant, verbatim, fixed and LPC subframes, Rice partitions of either
-parameter size, escaped partitions; it verifies CRC-8 of frame headers, CRC-16 of frames and the MD5 of the whole.
+Encoder: mono, 8 bits, blocks of BLOCK samples, a fixed predictor of order 0 to 2 or a linear one of order 2 (the one with
+the least sum of absolute residuals, with a handicap for the linear one), one Rice parameter per frame, STREAMINFO with the MD5 of the samples, and a SEEKTABLE with a
+point for each frame, if there are several (as many as a metadata block holds).  Decoder: mono, 8 to 24 bits, constant, verbatim, fixed and LPC
+subframes, wasted bits, Rice partitions of either parameter size, escaped partitions; streams with a dense, a sparse or no seek
+table; it verifies CRC-8 of frame headers, CRC-16 of frames and the MD5 of the whole, and gives the samples as PCM blocks
+with their offsets.  Texts are coded and decoded by slices of frames, so memory holds a text, its stream and one slice.
 
 Defined results: null text counts as empty; an empty text's payload is 64 zero bytes; a payload is the text in UTF-8 with zero
 bytes up to a positive multiple of 64, so equal texts give equal streams; a stream that fails a check raises FlacError with
@@ -16,6 +18,7 @@ the place; repeated rows give equal results; columns other than id and text are
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,6 +37,12 @@ RATE = 8000
 UNIT = 64
 #: Samples that are encoded or decoded together.
 TOGETHER = 1_500_000
+#: Bits of a linear coefficient, and of the fraction in it.
+_PRECISION, _SHIFT = 12, 10
+#: What a linear predictor's residual counts against a fixed one's: it takes more work, and a store compresses plain codes of text better.
+_WORTH = 1.25
+#: Seek points that fit a metadata block.
+_POINTS = ((1 << 24) - 1) // 18
 
 
 class FlacError(ValueError):
@@ -109,25 +118,67 @@ def runs(sizes: list[int], most: int = TOGETHER) -> Iterator[tuple[int, int]]:
 
 
 def encode_many(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
-    """One FLAC stream for each payload of unsigned 8-bit samples."""
-    return [x for a, b in runs([len(p) for p in payloads]) for x in _encode_some(payloads[a:b], block)]
-
-
-def _encode_some(payloads: list[bytes], block: int) -> list[bytes]:
+    """One FLAC stream for each payload of unsigned 8-bit samples; long ones are coded by slices of frames."""
+    step = max(1, TOGETHER // block) * block
+    slices = [(k, at) for k, p in enumerate(payloads) for at in range(0, len(p), step)]
+    frames: list[list[bytes]] = [[] for _ in payloads]
+    sizes: list[list[int]] = [[] for _ in payloads]
+    for a, b in runs([min(step, len(payloads[k]) - at) for k, at in slices]):
+        some = slices[a:b]
+        for (k, _), (coded, lengths) in zip(some, _frames_of([payloads[k][at : at + step] for k, at in some], [at // block for _, at in some], block), strict=True):
+            frames[k].append(coded)
+            sizes[k] += lengths
+    return [_stream(p, f, n, block) for p, f, n in zip(payloads, frames, sizes, strict=True)]
+
+
+def _stream(payload: bytes, frames: list[bytes], sizes: list[int], block: int) -> bytes:
+    pcm = (np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()  # as signed samples
+    info = struct.pack(">HH", block, block) + b"\0" * 6 + (RATE << 44 | 0 << 41 | 7 << 36 | len(payload)).to_bytes(8, "big") + hashlib.md5(pcm).digest()
+    at, points = 0, []
+    for i, size in enumerate(sizes):
+        points.append(struct.pack(">QQH", i * block, at, min(block, len(payload) - i * block)))
+        at += size
+    table = [b"".join(points[k : k + _POINTS]) for k in range(0, len(points), _POINTS)]
+    blocks = [(0, info), *((3, t) for t in table[: len(points) > 1])]  # a table holds what a metadata block can; later frames are walked to
+    out = [b"fLaC"]
+    for n, (kind, body) in enumerate(blocks):
+        out += [bytes([kind | (0x80 if n == len(blocks) - 1 else 0)]), len(body).to_bytes(3, "big"), body]
+    return b"".join([*out, *frames])
+
+
+def _linear(samples: np.ndarray, within: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each sample's prediction from the two before it, and each frame's coefficients: least squares by autocorrelation, in whole numbers."""
+    x = samples.astype(np.int32)
+    back, back2 = np.concatenate(([0], x[:-1])), np.concatenate(([0, 0], x[:-2]))
+    back, back2 = np.where(within >= 1, back, 0), np.where(within >= 2, back2, 0)
+    r0, r1, r2 = (np.add.reduceat(x * y, start).astype(np.float64) for y in (x, back, back2))  # a frame's sums fit 31 bits
+    whole = np.maximum(r0 * r0 - r1 * r1, 1.0)
+    most = (1 << (_PRECISION - 1)) - 1
+    quantised = lambda v: np.clip(np.rint(v / whole * (1 << _SHIFT)), -most, most).astype(np.int32)
+    one, two = quantised(r1 * (r0 - r2)), quantised(r0 * r2 - r1 * r1)
+    return (np.repeat(one, length) * back + np.repeat(two, length) * back2) >> _SHIFT, one, two
+
+
+def _frames_of(payloads: list[bytes], numbers: list[int], block: int) -> list[tuple[bytes, list[int]]]:
+    """The frames of each slice of samples, and their lengths in bytes; numbers: of each slice's first frame."""
     sizes = np.array([len(p) for p in payloads])
     frames = -(-sizes // block)
-    number = np.arange(frames.sum()) - np.repeat(np.cumsum(frames) - frames, frames)
-    length = np.minimum(block, np.repeat(sizes, frames) - number * block)
+    place = np.arange(frames.sum()) - np.repeat(np.cumsum(frames) - frames, frames)
+    number = place + np.repeat(np.array(numbers), frames)
+    length = np.minimum(block, np.repeat(sizes, frames) - place * block)
     start = np.cumsum(length) - length
     samples = (np.frombuffer(b"".join(payloads), np.uint8).astype(np.int16) - 128).astype(np.int16)
     within = np.arange(len(samples)) - np.repeat(start, length)
     first = np.diff(samples, prepend=samples[:1]).astype(np.int16)
     second = np.diff(first, prepend=first[:1]).astype(np.int16)
     total = lambda r, o: np.add.reduceat(np.where(within >= o, np.abs(r), 0).astype(np.int64), start) + 8 * o
-    order = np.argmin([total(samples, 0), total(first, 1), total(second, 2)], axis=0)
-    mine = np.repeat(order, length)
-    residual = np.where(mine == 0, samples, np.where(mine == 1, first, second)).astype(np.int32)
-    coded = within >= mine
+    guess, one, two = _linear(samples, within, start, length)
+    # kinds 0 to 2 are the fixed predictors; 3 is the linear one of order 2, taken where it saves a fifth of the residual
+    kind = np.argmin([total(samples, 0), total(first, 1), total(second, 2), total(samples - guess, 2) * _WORTH], axis=0)
+    order = np.minimum(kind, 2)
+    mine = np.repeat(kind, length)
+    residual = np.choose(mine, [samples, first, second, samples - guess]).astype(np.int32)
+    coded = within >= np.minimum(mine, 2)
     residual, owner = residual[coded], np.repeat(np.arange(len(length)), length)[coded]
     zigzag = ((residual << 1) ^ (residual >> 31)).astype(np.int64)
     count = length - order
@@ -139,7 +190,7 @@ def _encode_some(payloads: list[bytes], block: int) -> list[bytes]:
     bits = quotient + 1 + k
     heads = [_header(n, s) for n, s in zip(number.tolist(), length.tolist(), strict=True)]
     head_bytes = np.array([len(h) for h in heads])
-    fixed_bits = 8 + 8 * order + 10
+    fixed_bits = 8 + 8 * order + np.where(kind == 3, 9 + 2 * _PRECISION, 0) + 10
     code_bits = np.add.reduceat(bits, ends - count)
     frame_bytes = head_bytes + (fixed_bits + code_bits + 7) // 8 + 2
     frame_at = np.cumsum(frame_bytes) - frame_bytes
@@ -152,26 +203,28 @@ def _encode_some(payloads: list[bytes], block: int) -> list[bytes]:
         has = k > j
         stream[(stop + k - j)[has]] = ((zigzag >> j) & 1)[has]
     packed = np.packbits(stream)
-    # subframe header, warm-up samples and Rice header: 18 + 8 * order bits, put in as bytes
-    raw = samples.astype(np.uint8)
-    for h, o, a, s, r in zip(heads, order.tolist(), frame_at.tolist(), start.tolist(), rice.tolist(), strict=True):
-        packed[a : a + len(h)] = np.frombuffer(h, np.uint8)
-        a += len(h)
-        packed[a] = (0b001000 | o) << 1
-        packed[a + 1 : a + 1 + o] = raw[s : s + o]
-        packed[a + 1 + o] = r >> 2  # method 0 (2 bits), partition order 0 (4 bits), the parameter (4 bits)
-        packed[a + 2 + o] |= (r & 3) << 6
+    # header, subframe header, warm-up samples, coefficients and Rice header, whose last byte may hold the first code's bits
+    raw = samples.astype(np.uint8).tobytes()
+    columns = (heads, kind.tolist(), order.tolist(), frame_at.tolist(), start.tolist(), rice.tolist(), fixed_bits.tolist(), one.tolist(), two.tolist())
+    for h, t, o, a, s, r, n, c, d in zip(*columns, strict=True):
+        value = (0b001000 | t if t < 3 else 0b100001) << 1
+        value = value << 8 * o | int.from_bytes(raw[s : s + o], "big")
+        if t == 3:
+            low = (1 << _PRECISION) - 1
+            value = ((value << 4 | _PRECISION - 1) << 5 | _SHIFT) << 2 * _PRECISION | (c & low) << _PRECISION | d & low
+        value = value << 10 | r  # method 0 (2 bits), partition order 0 (4 bits), the parameter (4 bits)
+        spare = -n % 8
+        body = (value << spare).to_bytes((n + spare) // 8, "big")
+        upto = a + len(h) + len(body)
+        packed[a : upto - 1] = np.frombuffer(h + body[:-1], np.uint8)
+        packed[upto - 1] |= body[-1]
     crc = crc16_many(packed, frame_at, frame_bytes - 2)
     packed[frame_at + frame_bytes - 2] = crc >> 8
     packed[frame_at + frame_bytes - 1] = crc & 0xFF
-    out, f = [], 0
-    whole, pcm = packed.tobytes(), raw.tobytes()
-    sample_at = np.cumsum(sizes) - sizes
-    for n, size, s in zip(frames.tolist(), sizes.tolist(), sample_at.tolist(), strict=True):
-        info = struct.pack(">HH", block, block) + b"\0" * 6 + (RATE << 44 | 0 << 41 | 7 << 36 | size).to_bytes(8, "big") + hashlib.md5(pcm[s : s + size]).digest()
-        points = b"".join(struct.pack(">QQH", i * block, int(frame_at[f + i] - frame_at[f]), int(length[f + i])) for i in range(n))
-        end = int(frame_at[f + n - 1] + frame_bytes[f + n - 1])
-        out.append(b"fLaC" + b"\0" + len(info).to_bytes(3, "big") + info + b"\x83" + len(points).to_bytes(3, "big") + points + whole[int(frame_at[f]) : end])
+    out, f, whole = [], 0, packed.tobytes()
+    for n in frames.tolist():
+        own = frame_bytes[f : f + n].tolist()
+        out.append((whole[int(frame_at[f]) : int(frame_at[f]) + sum(own)], own))
         f += n
     return out
 
@@ -180,7 +233,6 @@ def _encode_some(payloads: list[bytes], block: int) -> list[bytes]:
 class Stream:
     """What the metadata of a FLAC stream says."""
 
-    block: int
     bits: int
     samples: int
     md5: bytes
@@ -203,7 +255,7 @@ def metadata(data: bytes) -> Stream:
     packed = int.from_bytes(info[10:18], "big")
     if packed >> 41 & 7:
         raise FlacError("only mono streams are read")
-    return Stream(int.from_bytes(info[2:4], "big"), (packed >> 36 & 31) + 1, packed & (1 << 36) - 1, info[18:34], at, points)
+    return Stream((packed >> 36 & 31) + 1, packed & (1 << 36) - 1, info[18:34], at, points)
 
 
 class _Bits:
@@ -238,87 +290,186 @@ class _Frame:
     kind: str
     constant: int = 0
     width: int = 8
+    wasted: int = 0
 
 
-def _frame(data: bytes, at: int, stream: Stream) -> _Frame:
-    if data[at : at + 1] != b"\xff" or data[at + 1] & 0xFC != 0xF8:
-        raise FlacError(f"no frame at byte {at}")
-    size_code, rate_code, width_code = data[at + 2] >> 4, data[at + 2] & 15, data[at + 3] >> 1 & 7
+def _head(data: bytes, at: int) -> tuple[int, int, int, bool] | None:
+    """(samples, number, end, whether the number counts samples) of the frame header at a byte, None if there is none."""
+    if at + 6 > len(data) or data[at] != 0xFF or data[at + 1] & 0xFE != 0xF8:
+        return None
+    size_code, rate_code = data[at + 2] >> 4, data[at + 2] & 15
     a = at + 4
     lead = data[a]
-    a += 1 if lead < 0x80 else 8 - (lead ^ 0xFF).bit_length()
+    more = 0 if lead < 0x80 else 7 - (lead ^ 0xFF).bit_length()
+    if lead >= 0x80 and not 1 <= more <= 6:
+        return None
+    number = lead if not more else lead & ((1 << (6 - more)) - 1)
+    for b in data[a + 1 : a + 1 + more]:
+        number = number << 6 | b & 0x3F
+    a += 1 + more
     samples = _SIZES.get(size_code, 0)
-    if size_code == 6:
-        samples, a = data[a] + 1, a + 1
-    elif size_code == 7:
-        samples, a = int.from_bytes(data[a : a + 2], "big") + 1, a + 2
+    if size_code in (6, 7):
+        samples, a = int.from_bytes(data[a : a + size_code - 5], "big") + 1, a + size_code - 5
     a += {12: 1, 13: 2, 14: 2}.get(rate_code, 0)
-    if crc8(data[at:a]) != data[a]:
-        raise FlacError(f"wrong CRC-8 of the frame header at byte {at}")
+    if a >= len(data) or not samples or crc8(data[at:a]) != data[a]:
+        return None
+    return samples, number, a + 1, bool(data[at + 1] & 1)
+
+
+def _crc16(data: bytes) -> int:
+    return int(crc16_many(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)]))[0])
+
+
+def walk(data: bytes, head: Stream) -> Iterator[tuple[int, int, int]]:
+    """(first sample, from byte, to byte) of every frame.
+
+    A dense seek table names them; elsewhere a frame ends where the next header stands that has the number due and lets the
+    CRC-16 of the frame come out, or at the stream's end."""
+    at, sample = head.frames_at, 0
+    known = {p[0]: p for p in head.points}
+    while at < len(data):
+        found = _head(data, at)
+        if found is None:
+            raise FlacError(f"no frame, or a wrong CRC-8 of its header, at byte {at}")
+        samples, own, body, by_sample = found
+        point = known.get(sample + samples)
+        if sample + samples >= head.samples > 0:
+            end = len(data)
+        elif point and head.frames_at + point[1] > at:
+            end = head.frames_at + point[1]
+        else:
+            end, sync, due = body, data[at : at + 2], own + (samples if by_sample else 1)
+            while (end := data.find(sync, end + 1)) >= 0:
+                after = _head(data, end)
+                if after and after[1] == due and _crc16(data[at : end - 2]) == int.from_bytes(data[end - 2 : end], "big"):
+                    break
+            end = end if end >= 0 else len(data)
+        yield sample, at, end
+        at, sample = end, sample + samples
+
+
+def _frame(data: bytes, at: int, stream: Stream) -> _Frame:
+    found = _head(data, at)
+    if found is None:
+        raise FlacError(f"no frame, or a wrong CRC-8 of its header, at byte {at}")
+    samples, _, body, _ = found
+    a, width_code = body - 1, data[at + 3] >> 1 & 7
+    if data[at + 3] >> 4:
+        raise FlacError("only mono streams are read")
     bits = _Bits(data, a + 1)
     width = _WIDTHS.get(width_code, stream.bits)
     kind = bits.take(8) >> 1
-    if kind & 0x40 or data[a + 1] & 1:
-        raise FlacError("wasted bits are not read")
+    wasted = 0
+    if data[a + 1] & 1:  # a run of zeros and a one: low bits that all samples lack
+        wasted = 1
+        while not bits.take(1):
+            wasted += 1
+        width -= wasted
     if kind == 0:
-        return _Frame(at, samples, [], 0, [], bits.at + width, "constant", bits.signed(width), width)
+        return _Frame(at, samples, [], 0, [], bits.at + width, "constant", bits.signed(width), width, wasted)
     if kind == 1:
-        return _Frame(at, samples, [], 0, [], bits.at, "verbatim", width=width)
+        return _Frame(at, samples, [], 0, [], bits.at, "verbatim", width=width, wasted=wasted)
     if 8 <= kind <= 12:
         order = kind - 8
         warm = [bits.signed(width) for _ in range(order)]
-        return _Frame(at, samples, _FIXED[order], 0, warm, bits.at, "rice", width=width)
+        return _Frame(at, samples, _FIXED[order], 0, warm, bits.at, "rice", width=width, wasted=wasted)
     if kind >= 32:
         order = kind - 31
         warm = [bits.signed(width) for _ in range(order)]
         precision, shift = bits.take(4) + 1, bits.signed(5)
-        return _Frame(at, samples, [bits.signed(precision) for _ in range(order)], shift, warm, bits.at, "rice", width=width)
+        return _Frame(at, samples, [bits.signed(precision) for _ in range(order)], shift, warm, bits.at, "rice", width=width, wasted=wasted)
     raise FlacError(f"unknown subframe type {kind}")
 
 
+def decode_frames(streams: list[bytes], check: bool = True) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(stream, first sample, samples) of every frame in turn; as many frames are decoded together as TOGETHER samples hold."""
+    heads = [metadata(data) for data in streams]
+    waiting: list[tuple[int, int, int, int, _Frame]] = []
+    held = 0
+    for k, (data, head) in enumerate(zip(streams, heads, strict=True)):
+        for sample, at, end in walk(data, head):
+            f = _frame(data, at, head)
+            waiting.append((k, sample, at, end, f))
+            held += f.samples
+            if held >= TOGETHER:
+                yield from _decode_some(streams, waiting, check)
+                waiting, held = [], 0
+    yield from _decode_some(streams, waiting, check)
+
+
 def decode_many(streams: list[bytes], check: bool = True) -> list[np.ndarray]:
     """The samples of each stream, as signed numbers."""
-    return [x for a, b in runs([len(x) for x in streams]) for x in _decode_some(streams[a:b], check)]
-
-
-def _decode_some(streams: list[bytes], check: bool) -> list[np.ndarray]:
-    frames: list[_Frame] = []
-    shift_of, heads, bounds = [], [], []
-    base = 0
-    for data in streams:
-        head = metadata(data)
-        offsets = [head.frames_at + p[1] for p in head.points] or [head.frames_at]
-        ends = [*offsets[1:], len(data)]
-        for a, b in zip(offsets, ends, strict=True):
-            f = _frame(data, a, head)
-            frames.append(f)
-            shift_of.append(base)
-            bounds.append((base + a, b - a))
-        heads.append((head, len(offsets)))
-        base += len(data)
-    buffer = np.frombuffer(b"".join(streams), np.uint8)
-    if check and bounds:
-        starts, lengths = np.array(bounds).T
-        found = crc16_many(buffer, starts, lengths - 2)
-        last = starts + lengths - 2
+    parts: list[list[np.ndarray]] = [[] for _ in streams]
+    sums = [Sums(metadata(data), check) for data in streams]
+    for k, sample, x in decode_frames(streams, check):
+        sums[k].add(sample, x)
+        parts[k].append(x)
+    for s in sums:
+        s.end()
+    return [np.concatenate(p) if p else np.zeros(0, np.int32) for p in parts]
+
+
+class Sums:
+    """What is verified and computed of a stream while its blocks of samples go by, in order."""
+
+    def __init__(self, head: Stream, check: bool = True):
+        self.head, self.check = head, check
+        self.md5, self.sha256, self.tail = hashlib.md5(), hashlib.sha256(), b""
+        self.n = self.peak = self.squares = self.crossings = 0
+        self.sign: bool | None = None
+
+    def add(self, sample: int, x: np.ndarray) -> None:
+        if sample != self.n:
+            raise FlacError(f"a frame of sample {sample} where sample {self.n} was due")
+        width = -(-self.head.bits // 8)
+        raw = np.ascontiguousarray(x, "<i4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+        self.md5.update(raw)
+        if self.head.bits == 8:
+            pcm = unsigned(x)
+            self.sha256.update(pcm)
+            self.tail = (self.tail + pcm)[-UNIT:]
+        y, sign = x.astype(np.int64), np.signbit(x)
+        self.peak = max(self.peak, int(np.abs(y).max()))
+        self.squares += int((y * y).sum())
+        self.crossings += int(np.count_nonzero(sign[1:] != sign[:-1])) + int(self.sign is not None and bool(sign[0]) != self.sign)
+        self.sign = bool(sign[-1])
+        self.n += len(x)
+
+    def end(self) -> None:
+        if self.head.samples and self.n != self.head.samples:
+            raise FlacError(f"{self.n} samples where {self.head.samples} were announced")
+        if self.check and self.head.md5 != b"\0" * 16 and self.md5.digest() != self.head.md5:
+            raise FlacError("wrong MD5 of the samples")
+
+    def feature(self) -> str:
+        """Peak, root mean square and sign changes of the samples."""
+        return f"n={self.n};peak={self.peak};rms={math.sqrt(self.squares / max(self.n, 1)):.4f};crossings={self.crossings}"
+
+
+def unsigned(samples: np.ndarray) -> bytes:
+    """8-bit samples as the bytes of their payload."""
+    return (samples + 128).astype(np.uint8).tobytes()
+
+
+def _decode_some(streams: list[bytes], some: list[tuple[int, int, int, int, _Frame]], check: bool) -> Iterator[tuple[int, int, np.ndarray]]:
+    if not some:
+        return
+    frames = [x[4] for x in some]
+    length = np.array([end - at for _, _, at, end, _ in some])
+    base = np.cumsum(length) - length
+    buffer = np.frombuffer(b"".join(streams[k][at:end] for k, _, at, end, _ in some), np.uint8)
+    if check:
+        found = crc16_many(buffer, base, length - 2)
+        last = base + length - 2
         wrong = np.flatnonzero(found != (buffer[last].astype(np.uint16) << 8 | buffer[last + 1]))
         if len(wrong):
-            raise FlacError(f"wrong CRC-16 of the frame at byte {bounds[wrong[0]][0]}")
+            raise FlacError(f"wrong CRC-16 of the frame at byte {some[wrong[0]][2]}")
     sizes = np.array([f.samples for f in frames], np.int64)
     to = np.cumsum(sizes) - sizes
     samples = np.zeros(int(sizes.sum()), np.int32)
-    _rice_frames(buffer, frames, np.array(shift_of, np.int64), to, samples)
-    out, f = [], 0
-    for head, n in heads:
-        a = int(to[f]) if n else 0
-        own = samples[a : a + int(sizes[f : f + n].sum())]
-        if len(own) != head.samples:
-            raise FlacError(f"{len(own)} samples where {head.samples} were announced")
-        if check and head.md5 != b"\0" * 16 and head.bits == 8 and hashlib.md5(own.astype(np.int8).tobytes()).digest() != head.md5:
-            raise FlacError("wrong MD5 of the samples")
-        out.append(own)
-        f += n
-    return out
+    _rice_frames(buffer, frames, base - np.array([f.at for f in frames]), to, samples)
+    for (k, sample, *_, f), a in zip(some, to.tolist(), strict=True):
+        yield k, sample, samples[a : a + f.samples] << f.wasted if f.wasted else samples[a : a + f.samples]
 
 
 def _rice_frames(buffer: np.ndarray, frames: list[_Frame], base: np.ndarray, to: np.ndarray, samples: np.ndarray) -> None:
@@ -425,12 +576,6 @@ def payload(text: str) -> bytes:
     return raw.ljust(max(UNIT, -(-len(raw) // UNIT) * UNIT), b"\0")
 
 
-def feature(samples: np.ndarray) -> str:
-    """Peak, root mean square and sign changes of the samples."""
-    x = samples.astype(np.int64)
-    return f"n={len(x)};peak={int(np.abs(x).max())};rms={np.sqrt((x * x).mean()):.4f};crossings={int(np.count_nonzero(np.diff(np.signbit(x))))}"
-
-
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -459,10 +604,13 @@ def read_back(media: DataFrame) -> DataFrame:
         names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
         for batch in _parts(it, 2):
             streams = batch.column(2).to_pylist()
+            sums = [Sums(metadata(data)) for data in streams]
+            for k, offset, x in decode_frames(streams):  # blocks of samples, each with its offset
+                sums[k].add(offset, x)
             rows = []
-            for data, x in zip(streams, decode_many(streams), strict=True):
-                raw = (x + 128).astype(np.uint8).tobytes()
-                rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(x)))
+            for data, own in zip(streams, sums, strict=True):
+                own.end()
+                rows.append((own.n, own.sha256.hexdigest(), zlib.crc32(own.tail), len(data), hashlib.sha256(data).hexdigest(), own.feature()))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]], names)
@@ -470,33 +618,44 @@ def read_back(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(batches, SCHEMA)
 
 
-def pcm_blocks(media: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, sample_offset, pcm): unsigned 8-bit blocks, each found by the offset of its first sample."""
+def pcm_blocks(media: DataFrame) -> DataFrame:
+    """(doc_id, sample_offset, pcm): unsigned 8-bit blocks, one for each frame, found by the offset of its first sample."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            ids, offsets, blocks = [], [], []
-            for doc, x in zip(batch.column(0).to_pylist(), decode_many(batch.column(1).to_pylist()), strict=True):
-                raw = (x + 128).astype(np.uint8).tobytes()
-                for at in range(0, len(raw), block):
-                    ids.append(doc)
-                    offsets.append(at)
-                    blocks.append(raw[at : at + block])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(offsets, pa.int64()), pa.array(blocks, pa.binary())], ["doc_id", "sample_offset", "pcm"])
+        for batch in _parts(it, 1):
+            ids, rows, held = batch.column(0).to_pylist(), [], 0
+            for k, offset, x in decode_frames(batch.column(1).to_pylist()):
+                rows.append((ids[k], offset, unsigned(x)))
+                held += len(x)
+                if held >= TOGETHER:
+                    yield _pcm(rows)
+                    rows, held = [], 0
+            yield _pcm(rows)
 
     return media.select("doc_id", "media").mapInArrow(batches, "doc_id long, sample_offset long, pcm binary")
 
 
+def _pcm(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 3
+    kinds = [pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["doc_id", "sample_offset", "pcm"])
+
+
 def read_at(data: bytes, sample: int, count: int) -> np.ndarray:
-    """`count` samples from `sample` on, decoding only the frames that hold them (found by the seek table)."""
+    """`count` samples from `sample` on; only the frames that hold them are decoded, and walked to from the seek point before."""
     head = metadata(data)
-    chosen = [(p, q) for p, q in zip(head.points, [*head.points[1:], None], strict=True) if p[0] < sample + count and p[0] + p[2] > sample]
-    if not chosen:
-        return np.zeros(0, np.int32)
-    frames = [_frame(data, head.frames_at + p[1], head) for p, _ in chosen]
-    sizes = np.array([f.samples for f in frames], np.int64)
-    to = np.cumsum(sizes) - sizes
-    out = np.zeros(int(sizes.sum()), np.int32)
-    _rice_frames(np.frombuffer(data, np.uint8), frames, np.zeros(len(frames), np.int64), to, out)
-    skip = sample - chosen[0][0][0]
-    return out[skip : skip + count]
+    before = max((p for p in head.points if p[0] <= sample), default=(0, 0, 0))
+    out, skip = [], 0
+    part = Stream(head.bits, head.samples - before[0] if head.samples else 0, head.md5, head.frames_at + before[1], [(p[0] - before[0], p[1] - before[1], p[2]) for p in head.points if p[0] >= before[0]])
+    waiting = []
+    for first, at, end in walk(data, part):
+        first += before[0]
+        if first >= sample + count:
+            break
+        f = _frame(data, at, head)
+        if first + f.samples > sample:
+            waiting.append((0, first, at, end, f))
+    for _, first, x in _decode_some([data], waiting, True):
+        skip = skip if out else sample - first
+        out.append(x)
+    return np.concatenate(out)[skip : skip + count] if out else np.zeros(0, np.int32)

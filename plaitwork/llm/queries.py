@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from plaitwork.llm import bpe, chat, exact_dedup, flac, language_id, packing, pii, simhash, substring_dedup, token_store
-from plaitwork.llm.common import documents
+from plaitwork.llm.common import documents, written
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -36,7 +36,7 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.read_back(flac.encode_column(documents(spark, sf_dir)))
+    return flac.read_back(written(flac.encode_column(documents(spark, sf_dir)), "media", "zstd"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

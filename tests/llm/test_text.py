@@ -1,14 +1,16 @@
 """PII, language ID, FLAC and chat formatting."""
 
 import hashlib
+import math
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
 
-from plaitwork.llm import chat, flac, language_id, pii
+from plaitwork.llm import chat, flac, language_id, pii, queries
 
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -179,6 +181,64 @@ def test_flac_of_other_encoders():
         assert flac.decode_many([b"fLaC\x80\x00\x00\x22" + info + frame])[0].tolist() == want
 
 
+def without_points(data, keep):
+    """The stream with only the seek points that `keep` picks (no table if none)."""
+    size = int.from_bytes(data[43:46], "big")
+    points = b"".join(data[46 + k : 46 + k + 18] for k in range(0, size, 18) if keep(k // 18))
+    info = bytearray(data[4:42])
+    info[0] = 0x00 if points else 0x80
+    table = b"\x83" + len(points).to_bytes(3, "big") + points if points else b""
+    return b"fLaC" + bytes(info) + table + data[46 + size :]
+
+
+@pytest.mark.parametrize("keep", [lambda k: False, lambda k: k % 7 == 3, lambda k: k == 0])
+def test_flac_without_or_with_few_seek_points(keep):
+    rng = random.Random(9)
+    load = b"".join([rng.randbytes(9000), b"\xff\xf8\xff\xf8" * 4000, bytes(range(256)) * 200, b"plain words " * 1000])
+    load = load[: len(load) // 64 * 64]
+    data = without_points(flac.encode_many([load])[0], keep)
+    assert (flac.decode_many([data])[0] + 128).astype(np.uint8).tobytes() == load
+    for at, n in ((0, 10), (4090, 20), (len(load) - 5, 5), (30000, 9000), (len(load), 4)):
+        assert (flac.read_at(data, at, n) + 128).astype(np.uint8).tobytes() == load[at : at + n]
+
+
+def test_flac_by_slices_is_the_same_stream(monkeypatch):
+    rng = random.Random(2)
+    loads = [rng.randbytes(64 * n) for n in (1, 700, 3, 64, 65)]
+    whole = flac.encode_many(loads)
+    monkeypatch.setattr(flac, "TOGETHER", 9000)
+    assert flac.encode_many(loads) == whole
+    blocks = list(flac.decode_frames(whole))
+    assert [b"".join(flac.unsigned(x) for k, _, x in blocks if k == n) for n in range(5)] == loads
+    assert [s for k, s, _ in blocks if k == 1] == list(range(0, 64 * 700, 4096))
+
+
+def test_flac_wasted_bits():
+    """Verbatim samples whose low two bits are left out."""
+    samples = [4, -8, 12, 100, -128, 0, 64, 8]
+    bits = f"{1 << 1 | 1:08b}" + "01" + "".join(f"{x >> 2 & 63:06b}" for x in samples)
+    bits += "0" * (-len(bits) % 8)
+    frame = flac._header(0, 8) + bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8))
+    frame += int(flac.crc16_many(np.frombuffer(frame, np.uint8), np.array([0]), np.array([len(frame)]))[0]).to_bytes(2, "big")
+    info = (8).to_bytes(2, "big") * 2 + bytes(6) + (8000 << 44 | 7 << 36 | 8).to_bytes(8, "big") + bytes(16)
+    assert flac.decode_many([b"fLaC\x80\x00\x00\x22" + info + frame])[0].tolist() == samples
+
+
+def test_flac_query_columns_against_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = {r.doc_id: r for r in queries.op6_flac(spark, "/root/testdata/sf0.001").collect()}
+    media = {r.doc_id: bytes(r.media) for r in flac.encode_column(docs).collect()}
+    for doc, text in docs.collect():
+        raw = (text or "").encode()
+        load = raw + bytes(-len(raw) % 64 if raw else 64)
+        x = [b - 128 for b in load]
+        r = rows[doc]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(load), hashlib.sha256(load).hexdigest(), zlib.crc32(load[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media[doc]), hashlib.sha256(media[doc]).hexdigest())
+        rms, crossings = math.sqrt(sum(v * v for v in x) / len(x)), sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        assert r.feature == f"n={len(x)};peak={max(map(abs, x))};rms={rms:.4f};crossings={crossings}"
+
+
 def test_flac_of_odd_documents(edge_docs, no_docs):
     media = flac.encode_column(edge_docs)
     rows = {r.doc_id: r for r in flac.read_back(media).collect()}
@@ -209,3 +269,12 @@ def test_chat_links_orders_and_checks(spark):
     assert by["d", "call", "q"].json == '{"arguments":{"z":{"a":[1,2],"b":1}},"id":"q","kind":"call","role":"assistant","tool":"other"}'
     assert by["d", "call", "p"].json.startswith('{"arguments":null,')
     assert chat.formatted(spark.createDataFrame([], EVENTS), chat.RESPOND).count() == 0
+
+
+def test_flac_uses_linear_predictors_for_tones():
+    tone = bytes(int(127 + 120 * math.sin(k / 9)) for k in range(64 * 200))
+    (data,) = flac.encode_many([tone])
+    head = flac.metadata(data)
+    frames = [flac._frame(data, at, head) for _, at, _ in flac.walk(data, head)]
+    assert any(f.shift and len(f.coefficients) == 2 for f in frames) and len(data) < len(tone) * 0.6
+    assert (flac.decode_many([data])[0] + 128).astype(np.uint8).tobytes() == tone
