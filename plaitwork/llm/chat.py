@@ -17,6 +17,8 @@ conversation id is a conversation of its own.  Extra columns of the input are le
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,58 +53,92 @@ def canonical(arguments: Column) -> Column:
 def linked(events: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
     """events with call-result links and checks: columns linked, repeated, valid."""
     events = events.select(*EVENT)
+    messages = events.where("kind = 'message'").withColumn("repeated", F.lit(False))
     in_order = Window.partitionBy("conv_id", "kind", "call_id").orderBy("turn", F.col("content").asc_nulls_last(), F.col("arguments").asc_nulls_last())
-    ranked = events.withColumn("repeated", (F.col("kind") != "message") & (F.row_number().over(in_order) > 1))
+    ranked = events.where("kind <> 'message'").withColumn("repeated", F.row_number().over(in_order) > 1)
     calls, results = ranked.where("kind = 'call'"), ranked.where("kind = 'result'")
     key = lambda side: side.where("not repeated and call_id is not null").select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), F.lit(True).alias("met"))
     meets = lambda one, other: one.join(key(other).hint("shuffle_hash"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("i")) & ~F.col("repeated"), "left").drop("c", "i").withColumn("linked", F.coalesce("met", F.lit(False))).drop("met")
     both = meets(calls, results).withColumn("valid", valid_arguments(F.col("tool"), F.col("arguments"), schemas)).unionByName(meets(results, calls).withColumn("valid", F.col("linked")))
-    return both.unionByName(ranked.where("kind = 'message'").withColumn("linked", F.lit(False)).withColumn("valid", F.col("content").isNotNull()))
+    return both.unionByName(messages.withColumn("linked", F.lit(False)).withColumn("valid", F.col("content").isNotNull()))
+
+
+def _by(one: DataFrame, other: DataFrame, how: str, *keys: str) -> DataFrame:
+    """one joined with other on the conversation, where null equals null, and on keys; the columns of one, and what other adds."""
+    names = ["conv_id", *keys]
+    other = other.select(*[F.col(n).alias(f"_{n}") for n in names], *[c for c in other.columns if c not in names])
+    same = F.col("conv_id").eqNullSafe(F.col("_conv_id"))
+    for k in keys:
+        same &= F.col(k) == F.col(f"_{k}")
+    return one.join(other, same, how).drop(*[f"_{n}" for n in names])
+
+
+#: Rounds whose levels are put together in one table.
+_ROUNDS = 8
 
 
 def levels(needs: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) from rows (conv_id, call_id, need), by rounds; calls on or behind a cycle have none."""
-    left, found, level = written(needs.distinct(), "needs"), None, 0
+    left, found, level = written(needs.distinct(), "needs"), [], 0
     while True:
-        free = left.where("need is null").select("conv_id", "call_id").join(left.where("need is not null").select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").distinct()
+        waiting = left.where("need is not null").select("conv_id", "call_id").distinct()
+        free = _by(left.where("need is null").select("conv_id", "call_id"), waiting, "left_anti", "call_id").distinct()
         free = written(free.withColumn("level", F.lit(level)), "level")
-        found = free if found is None else found.unionByName(free)
         if free.isEmpty():
-            return found
-        gone = free.select("conv_id", F.col("call_id").alias("need"))
-        rest = left.join(free.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
-        met = rest.join(gone.withColumn("done", F.lit(True)), ["conv_id", "need"], "left")
+            found.append(free)
+            return reduce(DataFrame.unionByName, found)
+        found.append(free)
+        if len(found) > _ROUNDS:  # so that the plan doesn't grow with the longest chain
+            found = [written(reduce(DataFrame.unionByName, found), "levels")]
+        rest = _by(left, free.select("conv_id", "call_id"), "left_anti", "call_id")
+        gone = free.select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("done"))
+        met = _by(rest, gone, "left", "need")
         left = written(met.select("conv_id", "call_id", F.when(F.col("done").isNull(), F.col("need")).alias("need")).distinct(), "needs")
         level += 1
 
 
+#: Turns of a conversation that are numbered in one task.
+TURNS = 1024
+
+
+def placed(events: DataFrame, order: list) -> DataFrame:
+    """events with their position in the conversation by level, turn and `order`; long conversations are numbered by stretches of turns."""
+    events = events.withColumn("_part", F.floor(F.col("turn") / TURNS))
+    parts = events.groupBy("conv_id", "level", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("conv_id").orderBy("level", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("conv_id", F.col("level").alias("_level"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    own = Window.partitionBy("conv_id", "level", "_part").orderBy("turn", *order)
+    counted = events.withColumn("_own", F.row_number().over(own) - 1)
+    same = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("level") == F.col("_level")) & F.col("_part").eqNullSafe(F.col("_p"))
+    met = counted.join(parts.withColumnRenamed("conv_id", "_c"), same)
+    return met.withColumn("position", (F.col("_first") + F.col("_own")).cast("int")).drop("_c", "_level", "_p", "_part", "_own", "_first")
+
+
 def ordered(events: DataFrame) -> DataFrame:
     """events (with links) and their position in a topological order of the conversation, from 0, and cyclic."""
     calls = events.where("kind = 'call' and not repeated and call_id is not null")
     wants = calls.select("conv_id", "call_id", "turn", F.explode("needs").alias("need"))
-    there = calls.select(F.col("conv_id").alias("c"), F.col("call_id").alias("need"), F.col("turn").alias("need_turn"))
-    known = wants.join(there.hint("shuffle_hash"), [wants["conv_id"].eqNullSafe(F.col("c")), wants["need"] == there["need"]]).select("conv_id", "call_id", "turn", there["need"], "need_turn")
-    late = calls.select("conv_id", "call_id", "turn").join(events.where("kind = 'result' and linked").select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), F.col("turn").alias("t")).hint("shuffle_hash"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("i"))).where("t < turn").select("conv_id")
+    there = calls.select("conv_id", F.col("call_id").alias("need"), F.col("turn").alias("need_turn"))
+    known = _by(wants, there.hint("shuffle_hash"), "inner", "need")
+    results = events.where("kind = 'result' and linked").select("conv_id", "call_id", F.col("turn").alias("t"))
+    late = _by(calls.select("conv_id", "call_id", "turn"), results.hint("shuffle_hash"), "inner", "call_id").where("t < turn").select("conv_id")
     tangled = written(known.where("need_turn >= turn").select("conv_id").unionByName(late).distinct(), "tangled")
     step = F.when(F.col("kind") == "result", 1).otherwise(0)
     if tangled.isEmpty():
         events = events.withColumn("level", F.lit(0)).withColumn("cyclic", F.lit(False))
     else:
-        mark = tangled.select(F.col("conv_id").alias("c"), F.lit(True).alias("hard"))
-        marked = events.join(mark, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
-        hard = calls.select("conv_id", "call_id").join(tangled, "conv_id", "left_semi")
-        edges = known.select("conv_id", "call_id", "need").join(tangled, "conv_id", "left_semi").unionByName(hard.select("conv_id", "call_id", F.lit(None).cast("string").alias("need")))
-        level = levels(edges).select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), F.col("level").alias("lv"))
-        events = marked.join(level, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("i")), "left").drop("c", "i")
+        hard = _by(calls.select("conv_id", "call_id"), tangled, "left_semi")
+        edges = _by(known.select("conv_id", "call_id", "need"), tangled, "left_semi").unionByName(hard.withColumn("need", F.lit(None).cast("string")))
+        events = _by(events, tangled.withColumn("hard", F.lit(True)), "left")
+        events = _by(events, levels(edges).withColumnRenamed("level", "lv"), "left", "call_id")
         events = events.withColumn("cyclic", F.coalesce("hard", F.lit(False)) & ((F.col("kind") == "call") | F.col("linked")) & F.col("lv").isNull() & F.col("call_id").isNotNull() & ~F.col("repeated"))
         events = events.withColumn("level", F.when(F.coalesce("hard", F.lit(False)) & (F.col("kind") != "message"), F.coalesce(2 * F.col("lv") + step, F.lit((1 << 31) - 1))).otherwise(0)).drop("hard", "lv")
-    place = Window.partitionBy("conv_id").orderBy("level", "turn", step, F.col("call_id").asc_nulls_first(), F.col("content").asc_nulls_first())
-    return events.withColumn("position", F.row_number().over(place) - 1).drop("level")
+    return placed(events, [step, F.col("call_id").asc_nulls_first(), F.col("content").asc_nulls_first()]).drop("level")
 
 
 def formatted(events: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
     """One row per event: conv_id, position, turn, kind, call_id, linked, repeated, valid, cyclic, json."""
-    done = ordered(linked(events, schemas))
+    done = ordered(written(linked(events, schemas), "linked"))
     text = lambda name, column: F.when(column.isNotNull(), F.concat(F.lit(f'"{name}":'), F.substring(F.to_json(F.array(column)), 2, 1 << 30)))
     # to_json of a one-element array, without its brackets, is the JSON of a string
     part = lambda name, column: F.regexp_replace(text(name, column), r"\]\z", "")

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from plaitwork.llm.common import SEPARATORS, fresh, whole_text, written
 
 SALTS = 128
-_SHIFT = "18446744073709551616"  # 2**64: a length and an id share one decimal(38,0)
-_NULL_ID = "9223372036854775808"  # 2**63: above every id
+# A length and an id share one decimal(38,0).  An id's place is id + 2**63; a null one's is 2**64, above every id's.
+_HALF, _WHOLE, _SHIFT = (f"{1 << n}BD" for n in (63, 64, 65))
 
 
 def normalised(text: Column) -> Column:
@@ -44,16 +44,15 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("_text"))
     rows = rows.select("doc_id", F.char_length("_text").alias("_chars"), normalised(F.col("_text")).alias("_norm"))
     rows = rows.withColumn("_digest", digest(F.col("_norm"))).withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    order = F.expr(f"cast(_chars as decimal(38,0)) * {_SHIFT}BD - coalesce(cast(doc_id as decimal(38,0)), {_NULL_ID}BD)").cast("decimal(38,0)")
+    place = f"coalesce(cast(doc_id as decimal(38,0)) + {_HALF}, {_WHOLE})"
+    order = F.expr(f"cast(_chars as decimal(38,0)) * {_SHIFT} + {_SHIFT} - 1 - {place}").cast("decimal(38,0)")
 
     # most characters first, then the smallest id, is the largest of one number
     salted = rows.groupBy("_digest", "_salt", "_norm").agg(F.max(order).alias("_best"), F.count(F.lit(1)).alias("_n"))
     group = Window.partitionBy("_digest", "_norm")
     won = salted.withColumn("_top", F.max("_best").over(group)).withColumn("_size", F.sum("_n").over(group))
-    back = F.expr(f"pmod({_SHIFT}BD - pmod(_top, {_SHIFT}BD), {_SHIFT}BD)")
-    signed = F.when(back >= F.expr(f"{_NULL_ID}BD"), back - F.expr(f"{_SHIFT}BD")).otherwise(back)
-    # an id is -2**63 .. 2**63 - 1 modulo 2**64; 2**63 itself stands for null, and for the one id that it can't be told from
-    won = won.withColumn("_keep", F.when(back == F.expr(f"{_NULL_ID}BD"), F.lit(None).cast("long")).otherwise(signed.cast("long")))
+    won = won.withColumn("_place", F.expr(f"{_SHIFT} - 1 - pmod(_top, {_SHIFT})"))
+    won = won.withColumn("_keep", F.when(F.expr(f"_place < {_WHOLE}"), F.expr(f"_place - {_HALF}").cast("long")))
 
     by_key = written(won.groupBy("_digest", "_salt").agg(F.count(F.lit(1)).alias("_texts"), F.max("_keep").alias("_keep"), F.max("_size").alias("_size")), "exact-groups")
     single = rows.select("doc_id", "_digest", "_salt").join(by_key.where("_texts = 1").drop("_texts"), ["_digest", "_salt"])

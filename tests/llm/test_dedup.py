@@ -59,6 +59,16 @@ def test_exact_survivors(edge_docs, no_docs):
     assert exact_dedup.exact_groups(no_docs).count() == 0 and exact_dedup.deduplicated(no_docs).count() == 0
 
 
+def test_exact_groups_of_extreme_ids(spark):
+    ids = [-(2**63), 2**63 - 1, 0, -1, None]
+    rows = [(d, f"text {k}") for k in range(5) for d in ids[k:]] + [(ids[0], " longer  text 3 "), (None, "longer text 3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in exact_dedup.exact_groups(df).collect()), key=str)
+    assert got == brute_exact(rows)
+    left = [(r.doc_id, r.text) for r in exact_dedup.deduplicated(df).collect()]
+    assert sorted(left, key=str) == sorted([(min((d for d in ids[k:] if d is not None), default=None), f"text {k}") for k in range(5)] + [(ids[0], " longer  text 3 ")], key=str)
+
+
 def test_exact_dedup_runs_no_python(edge_docs):
     plan = exact_dedup.exact_groups(edge_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

@@ -1,6 +1,7 @@
 """PII, language ID, FLAC and chat formatting."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -9,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plaitwork.llm import chat, flac, language_id, pii, queries
 
@@ -278,3 +280,74 @@ def test_flac_uses_linear_predictors_for_tones():
     frames = [flac._frame(data, at, head) for _, at, _ in flac.walk(data, head)]
     assert any(f.shift and len(f.coefficients) == 2 for f in frames) and len(data) < len(tone) * 0.6
     assert (flac.decode_many([data])[0] + 128).astype(np.uint8).tobytes() == tone
+
+
+def plain_chat(rows, schemas):
+    """{row number: (position, linked, repeated, valid, cyclic)} by plain loops over each conversation."""
+    out = {}
+    kinds = {"string": str, "integer": int}
+    for conv in {r[0] for r in rows}:
+        own = [(n, r) for n, r in enumerate(rows) if r[0] == conv]
+        first = {}
+        for n, r in sorted((x for x in own if x[1][2] != "message"), key=lambda x: (x[1][1], x[1][7] is None, x[1][7] or "", x[1][6] is None, x[1][6] or "")):
+            first.setdefault((r[2], r[4]), n)
+        repeated = {n: r[2] != "message" and first[r[2], r[4]] != n for n, r in own}
+        live = {(r[2], r[4]): n for n, r in own if r[2] != "message" and r[4] is not None and not repeated[n]}
+        calls = {r[4]: r for n, r in own if live.get(("call", r[4])) == n}
+        linked = {n: r[2] != "message" and not repeated[n] and r[4] is not None and ("result" if r[2] == "call" else "call", r[4]) in live for n, r in own}
+        needs = {i: {x for x in (r[8] or []) if x in calls} for i, r in calls.items()}
+        hard = any(calls[x][1] >= calls[i][1] for i in needs for x in needs[i]) or any(r[2] == "result" and linked[n] and r[1] < calls[r[4]][1] for n, r in own)
+        level, now = {}, 0
+        while free := [i for i in needs if i not in level and all(level.get(x, now) < now for x in needs[i])]:
+            level.update(dict.fromkeys(free, now))
+            now += 1
+
+        def depth(n, r):
+            if not hard or r[2] == "message":
+                return 0
+            return 2 * level[r[4]] + (r[2] == "result") if r[4] in level else 2**31
+
+        order = sorted(own, key=lambda x: (depth(*x), x[1][1], x[1][2] == "result", x[1][4] is not None, x[1][4] or "", x[1][7] is not None, x[1][7] or ""))
+        for place, (n, r) in enumerate(order):
+            valid = linked[n] if r[2] == "result" else r[7] is not None
+            if r[2] == "call":
+                try:
+                    value = json.loads(r[6])
+                    fields = schemas[r[5]]
+                    valid = set(value) <= set(fields) and all(type(value[f]) is kinds[k] if f in value else not must for f, (k, must) in fields.items())
+                except (KeyError, TypeError, ValueError):
+                    valid = False
+            cyclic = hard and (r[2] == "call" or linked[n]) and r[4] is not None and not repeated[n] and r[4] not in level
+            out[n] = (place, linked[n], repeated[n], valid, cyclic)
+    return out
+
+
+@pytest.mark.parametrize("turns", [1024, 2])
+def test_chat_against_plain_loops(spark, monkeypatch, turns):
+    """Forward and backward needs, cycles, unknown tools, bad arguments, orphans and repeats, also in the null conversation."""
+    monkeypatch.setattr(chat, "TURNS", turns)
+    rng, rows = random.Random(4), []
+    arguments = ['{"text":"x","turn":1}', '{"turn":2}', '{"text":5,"turn":1}', "{bad", None, '{"text":"y","turn":3,"more":1}']
+    for conv in [None, *(f"c{k}" for k in range(12))]:
+        ids = [f"i{k}" for k in range(6)]
+        for k, i in enumerate(ids):
+            pool = ids[:k] if conv in ("c1", "c2", "c3") else ids + ["lost"]
+            needs = rng.sample(pool, min(len(pool), rng.randint(0, 2)))
+            rows.append((conv, 2 * k, "call", "assistant", i, rng.choice(["respond", "respond", "other", None]), rng.choice(arguments), None, rng.choice([needs, needs, None])))
+            if rng.random() < 0.8:
+                rows.append((conv, rng.randint(0, 14), "result", "tool", i, None, None, f"said {len(rows)}", None))
+        rows.append((conv, 20, "call", "assistant", "i0", "respond", arguments[0], None, None))
+        rows += [(conv, 21 + k, "message", "user", None, None, None, rng.choice(["hi", None]), None) for k in range(3)]
+    rows += [(None, 50, "call", "assistant", "a", "respond", arguments[0], None, ["b"]), (None, 51, "call", "assistant", "b", "respond", arguments[0], None, None)]
+    marked = [(*r[:3], f"{r[3]}-{n}", *r[4:]) for n, r in enumerate(rows)]
+    rng.shuffle(marked)
+    got = chat.formatted(spark.createDataFrame(marked, EVENTS).withColumn("position", F.lit("x")).withColumn("linked", F.lit(1)), chat.RESPOND)
+    found = {int(json.loads(r.json)["role"].split("-")[1]): (r.position, r.linked, r.repeated, r.valid, r.cyclic) for r in got.collect()}
+    assert found == plain_chat(rows, chat.RESPOND)
+
+
+def test_chat_long_chain_of_needs(spark):
+    n = 30
+    rows = [("c", n - k, "call", "assistant", f"i{k:03}", "respond", None, None, [f"i{k - 1:03}"] if k else None) for k in range(n)]
+    got = chat.formatted(spark.createDataFrame(rows, EVENTS), chat.RESPOND).orderBy("position").collect()
+    assert [r.call_id for r in got] == [f"i{k:03}" for k in range(n)]
