@@ -4,7 +4,7 @@ A short word (one pre-token) is held as two contiguous arrays: the byte offsets
 and, beside them, the merge rank of each part with the part to its right.  The encoder scans the ranks
 for their minimum, deletes the boundary between the two parts that merge and refreshes only the two
 neighbouring ranks.  New words of a batch stand in the rows of one matrix and take these steps together;
-long ones take them alone.  Words repeat, so a bounded memo in each worker process keeps what was encoded.
+longer ones take them alone, and those of over LONG bytes by a heap.  Words repeat, so a bounded memo in each worker process keeps what was encoded.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to an empty text;
 the string of a special token inside a text becomes its id, as the public ``tokenizers`` library has it
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterable, Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -36,8 +37,11 @@ ODD_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003
 
 NO_RANK = (1 << 31) - 1
 MEMO_ENTRIES = 250_000
+KEY = 256
 #: Longer words are merged one by one; shorter ones of about the same length together.
 SHORT = 48
+#: Longer words are merged by a heap, as a scan for each merge would take time in proportion to the square of their length.
+LONG = 400
 
 
 def byte_alphabet() -> list[str]:
@@ -48,13 +52,15 @@ def byte_alphabet() -> list[str]:
 
 
 class Memo(dict):
-    """A bounded memo: what is used while one generation fills survives into the next."""
+    """A bounded memo: what is used while one generation fills survives into the next.  Keys of over KEY characters aren't kept."""
 
     def __init__(self, make: Callable, entries: int = MEMO_ENTRIES):
         super().__init__()
         self.make, self.entries, self.older = make, entries, {}
 
     def put(self, key, value) -> None:
+        if len(key) > KEY:
+            return
         if len(self) >= self.entries:
             self.older = dict(self)
             self.clear()
@@ -112,6 +118,8 @@ class RankArrayBPE:
 
     def merge_word(self, word: bytes) -> list[int]:
         """Ids of one pre-token: parts, and beside them the ranks of neighbours."""
+        if len(word) > LONG:
+            return self.merge_long(word)
         parts, merges, base = self.byte_ids[np.frombuffer(word, np.uint8)].tolist(), self.merges, self.base
         none = (NO_RANK, 0)
         ranks = [merges.get(a * base + b, none)[0] for a, b in zip(parts, parts[1:], strict=False)]
@@ -125,6 +133,31 @@ class RankArrayBPE:
                 ranks[at - 1] = merges.get(parts[at - 1] * base + parts[at], none)[0]
         return parts
 
+    def merge_long(self, word: bytes) -> list[int]:
+        """merge_word() by a heap of (rank, place of the left part) and links between parts that are left."""
+        parts, merges, base = self.byte_ids[np.frombuffer(word, np.uint8)].tolist(), self.merges, self.base
+        n, none = len(parts), (NO_RANK, 0)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = [merges.get(a * base + b, none)[0] for a, b in zip(parts, parts[1:], strict=False)] + [NO_RANK]
+        heap = [(r, k) for k, r in enumerate(rank) if r != NO_RANK]
+        heapify(heap)
+        while heap:
+            least, at = heappop(heap)
+            if rank[at] != least:
+                continue  # the part has changed or is gone
+            gone = after[at]
+            parts[at], rank[gone] = int(self.joined_ids[least]), NO_RANK
+            after[at] = right = after[gone]
+            parts[gone] = -1
+            if right < n:
+                before[right] = at
+            for left, x in ((at, right), (before[at], at)):
+                if left >= 0:
+                    rank[left] = merges.get(parts[left] * base + parts[x], none)[0] if x < n else NO_RANK
+                    if rank[left] != NO_RANK:
+                        heappush(heap, (rank[left], left))
+        return [p for p in parts if p >= 0]
+
     def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) * self.base + right
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
@@ -165,7 +198,7 @@ class RankArrayBPE:
 
     def learn(self, chunks: Iterable[str]) -> None:
         """Put chunks that stand after a space, as far as they are new, into the memo; their new words are merged together."""
-        new = [c for c in chunks if c not in self.chunk_memo and c not in self.chunk_memo.older]
+        new = [c for c in chunks if len(c) <= KEY and c not in self.chunk_memo and c not in self.chunk_memo.older]
         found = [self.pattern.findall(" " + c) for c in new]
         known, older = self.word_memo, self.word_memo.older
         words = sorted({w for ws in found for w in ws if w not in known and w not in older}, key=len)

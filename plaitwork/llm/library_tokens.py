@@ -17,7 +17,7 @@ from itertools import chain
 import numpy as np
 import regex
 
-from plaitwork.llm.bpe import BYTE_LEVEL_PATTERN, MEMO_ENTRIES, Memo, byte_alphabet, cuts_at_spaces
+from plaitwork.llm.bpe import BYTE_LEVEL_PATTERN, KEY, MEMO_ENTRIES, Memo, byte_alphabet, cuts_at_spaces
 
 # Fixed value: the pre-tokenizer pattern in the word-end vocabulary's file.
 WORD_END_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -75,6 +75,7 @@ class LibraryTokens:
     def learn(self, chunks: Iterable[str]) -> None:
         """Put new chunks into the memo, or with word ends their pieces."""
         memo = self.pieces if self.word_ends else self.chunks
+        chunks = [c for c in chunks if len(c) < KEY]
         if self.word_ends:
             new = [c for c in chunks if c not in self.chunks and c not in self.chunks.older and not _BEYOND_LATIN.search(c)]
             chunks = set(chain.from_iterable(map(self._found, new)))

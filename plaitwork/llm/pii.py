@@ -19,6 +19,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -137,24 +139,26 @@ _BETWEEN_ONLY = re.compile(_BETWEEN, re.I)
 
 
 # Top-level domains with which at and dot, as mere words, make an address.
-WORD_DOMAINS = frozenset("com org net edu gov info biz io co uk de fr es it eu us".split())
+WORD_DOMAINS = frozenset("com org net edu gov info biz io co uk de fr es it eu us dev ai app online site shop xyz nl pl pt br jp cn au ca mx ru ch se dk fi ie nz".split())
 
 
 class Tape:
     """A text with the source start and end of each of its characters."""
 
     def __init__(self, text: str):
-        self.text, self.starts, self.ends = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text, self.starts, self.ends = text, array("q", range(len(text))), array("q", range(1, len(text) + 1))
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace spans, in ascending order and apart; the new characters stand for the whole span they replace."""
         if not edits:
             return
-        text, starts, ends, done = [], [], [], 0
+        text, starts, ends, done = [], array("q"), array("q"), 0
         for a, b, new in edits:
             text += [self.text[done:a], new]
-            starts += self.starts[done:a] + [self.starts[a]] * len(new)
-            ends += self.ends[done:a] + [self.ends[b - 1]] * len(new)
+            starts += self.starts[done:a]
+            starts.extend([self.starts[a]] * len(new))
+            ends += self.ends[done:a]
+            ends.extend([self.ends[b - 1]] * len(new))
             done = b
         self.text = "".join(text) + self.text[done:]
         self.starts, self.ends = starts + self.starts[done:], ends + self.ends[done:]
@@ -240,6 +244,12 @@ def _spelled_runs(text: str, start: int, end: int) -> list[tuple[int, int, str]]
     return out
 
 
+def covered(span: tuple[int, int], spans: list[tuple[int, int]]) -> bool:
+    """True if one of the spans, which are in order and apart, covers the span."""
+    at = bisect_right(spans, (span[0], span[1]))
+    return any(a <= span[0] and span[1] <= b for a, b in spans[max(0, at - 1) : at + 1])
+
+
 def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
     """Spans that show only after deobfuscation, in source offsets."""
     strange = not text.isascii() and _STRANGE.search(text) is not None
@@ -257,7 +267,7 @@ def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str,
     out = {}
     for kind, spans in base_spans(tape.text).items():
         found = [tape.source(s) for s in spans]
-        fresh = [s for s in found if not any(a <= s[0] and s[1] <= b for a, b in base[kind])]
+        fresh = [s for s in found if not covered(s, base[kind])]
         if fresh:
             out[kind] = sorted(set(fresh))
     return out

@@ -116,6 +116,21 @@ def test_scans_take_linear_time():
         assert time.perf_counter() - began < 10
 
 
+def test_many_addresses_and_one_disguise_take_linear_time():
+    text = " ".join(f"user{k}@mail{k}.example.com" for k in range(50_000)) + " jane [at] example [dot] com"
+    began = time.process_time()
+    base, every = pii.find(text)
+    assert time.process_time() - began < 20
+    assert len(base["email"]) == 50_000 and len(every["email"]) == 50_001 and every["email"][-1] == (text.index("jane"), len(text))
+
+
+def test_covered():
+    spans = [(2, 5), (5, 9), (12, 20)]
+    for a in range(22):
+        for b in range(a + 1, 22):
+            assert pii.covered((a, b), spans) == any(x <= a and b <= y for x, y in spans)
+
+
 def test_pii_of_odd_documents(edge_docs, no_docs):
     rows = {r.doc_id: r for r in pii.spans_of(edge_docs).collect()}
     assert (rows[10].n_email, rows[10].n_ip, rows[10].n_card, rows[10].n_phone) == (1, 1, 1, 1)

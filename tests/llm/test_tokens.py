@@ -1,6 +1,7 @@
 """BPE, library tokens, packing and the token store against the tokenizers library."""
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -46,6 +47,33 @@ def test_words_merged_together_and_alone_agree():
     assert list(small.encode_batch(texts)) == [BYTE_LIB.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abcdenrst éß", min_size=1, max_size=300))
+def test_long_words_by_a_heap(text):
+    coder = bpe.loaded(BYTE)
+    word, most = text.encode(), bpe.LONG
+    try:
+        bpe.LONG = 1 << 30
+        assert coder.merge_long(word) == coder.merge_word(word)
+    finally:
+        bpe.LONG = most
+
+
+def test_a_megabyte_of_one_word():
+    rng = np.random.default_rng(8)
+    text = "x" + "".join(map(chr, rng.integers(97, 123, 1_000_000)))
+    began = time.process_time()
+    ids = bpe.loaded(BYTE).encode(text)
+    assert time.process_time() - began < 60
+    assert bpe.loaded(BYTE).decode(ids) == text
+    assert ids == BYTE_LIB.encode(text, add_special_tokens=False).ids
+
+
+def test_memos_keep_no_long_keys():
+    memo = bpe.Memo(len, 10)
+    assert memo["a" * 10_000] == 10_000 and not memo and memo["ab"] == 2 and len(memo) == 1
+
+
 def test_round_trip_of_odd_documents(edge_docs, no_docs):
     rows = bpe.round_trip_digests(edge_docs, BYTE).collect()
     assert len(rows) == edge_docs.count() and all(r.round_trip for r in rows)
