@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plaitwork.llm.common import written
+from plaitwork.llm.common import dropped, written
 
 EVENT = ["conv_id", "turn", "kind", "role", "call_id", "tool", "arguments", "content", "needs"]
 
@@ -88,12 +88,14 @@ def levels(needs: DataFrame) -> DataFrame:
             found.append(free)
             return reduce(DataFrame.unionByName, found)
         found.append(free)
-        if len(found) > _ROUNDS:  # so that the plan doesn't grow with the longest chain
-            found = [written(reduce(DataFrame.unionByName, found), "levels")]
         rest = _by(left, free.select("conv_id", "call_id"), "left_anti", "call_id")
         gone = free.select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("done"))
         met = _by(rest, gone, "left", "need")
-        left = written(met.select("conv_id", "call_id", F.when(F.col("done").isNull(), F.col("need")).alias("need")).distinct(), "needs")
+        before, left = left, written(met.select("conv_id", "call_id", F.when(F.col("done").isNull(), F.col("need")).alias("need")).distinct(), "needs")
+        dropped(before)
+        if len(found) > _ROUNDS:  # so that the plan doesn't grow with the longest chain
+            before, found = found, [written(reduce(DataFrame.unionByName, found), "levels")]
+            dropped(*before)
         level += 1
 
 

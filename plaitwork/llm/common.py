@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,11 +32,13 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset and Spark is one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = set_dir.get() if set_dir.isDefined() else None
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
         found = os.path.join(tempfile.gettempdir(), "plaitwork-shared")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -48,7 +51,17 @@ def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that written() made, once nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaitwork.llm.common import written
+from plaitwork.llm.common import dropped, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -38,7 +38,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == state or not now[0]:
             break
         state = now
-        edges = written(_stars(written(_stars(edges, True), "edges"), False), "edges")
+        middle = written(_stars(edges, True), "edges")
+        before, edges = edges, written(_stars(middle, False), "edges")
+        dropped(before, middle)
     else:
         raise RuntimeError(f"components: no fixed point after {rounds} rounds")
     ends = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

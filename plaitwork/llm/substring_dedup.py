@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plaitwork.llm.bpe import Memo
-from plaitwork.llm.common import SEPARATORS, bucketed, shuffle_width, spread_join, whole_text, written
+from plaitwork.llm.common import SEPARATORS, bucketed, dropped, shuffle_width, spread_join, whole_text, written
 
 MIN_WORDS = 13
 PREFIX = 5
@@ -288,6 +288,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         # a text has as many windows as its anchor can be in, whatever the number of its copies
         by_text = spread_join(each.select("window", "at", "piece"), least, "window").groupBy("piece").agg(F.sort_array(F.collect_list(F.struct("at", "keeper"))).alias("least"))
         by_text = written(by_text.join(texts.select("piece", "copies"), "piece"), "keepers")
+        dropped(texts, least)
         marks = marks.unionByName(spread_join(crowd.select("piece", "spots"), by_text, "piece").select("spots", "least").mapInArrow(apply, span_schema))
     found = marks.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 

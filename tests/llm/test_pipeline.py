@@ -11,6 +11,7 @@ from plaitwork.llm import language_id, pii, queries
 from plaitwork.llm.common import written
 
 from .test_dedup import brute_components, brute_exact, brute_fingerprint
+from .test_near_copies import kept_by_all_pairs
 
 WORD_LIB = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
@@ -35,6 +36,27 @@ def test_run_against_a_plain_version(spark, tmp_path):
     assert {(r.doc_id, r.start): (r.length, r.ids_crc32, r.doc_tokens) for r in got} == want and len(got) == len(want)
 
 
+def test_run_against_all_pairs_of_shingle_sets(spark, tmp_path):
+    """run() against plain versions of its stages; near copies share 0.8 of their five-word shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.unionByName(docs.limit(3)).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    filters = language_id.fit(docs)
+    rows = {(r.doc_id, r.text) for r in docs.collect() if filters.predict(r.text)[0] != "und"}
+    kept = {r[0] for r in brute_exact(sorted(rows)) if r[3]}
+    rows = sorted((d, t) for d, t in rows if d in kept)
+    left = kept_by_all_pairs(rows)
+    want = {}
+    for doc, text in rows:
+        if doc in left:
+            ids = np.array([*WORD_LIB.encode(pii.redacted(text, pii.find(text)[1]), add_special_tokens=False).ids, 1], "<u4")
+            for at in range(0, len(ids), 2048):
+                want[doc, at] = (len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes()), len(ids))
+    assert {(r.doc_id, r.start): (r.length, r.ids_crc32, r.doc_tokens) for r in got} == want and len(got) == len(want)
+    assert len(left) < len(rows)
+
+
 def test_stages_on_odd_documents(spark, edge_docs, no_docs):
     for docs in (edge_docs, no_docs):
         for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
