@@ -15,10 +15,13 @@ _UNITS = {"": 1, "k": 10**3, "m": 10**6, "g": 10**9, "t": 10**12}
 
 
 def java_hash(text: Column) -> Column:
-    """The 32-bit string hash h = 31 h + c over UTF-16 units (characters outside the BMP count as one unit of their code point)."""
+    """The 32-bit string hash h = 31 h + c over UTF-16 units (a character outside the BMP is two)."""
     wrap = lambda x: F.pmod(x + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
     units = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.aggregate(units, F.lit(0).cast("long"), lambda h, c: wrap(h * 31 + F.ascii(c))).cast("int")
+    high = lambda c: F.lit(0xD800) + F.shiftright(F.ascii(c) - 0x10000, 10)
+    low = lambda c: F.lit(0xDC00) + (F.ascii(c) - 0x10000).bitwiseAND(F.lit(0x3FF))
+    step = lambda h, c: F.when(F.ascii(c) < 0x10000, wrap(h * 31 + F.ascii(c))).otherwise(wrap(wrap(h * 31 + high(c)) * 31 + low(c)))
+    return F.aggregate(units, F.lit(0).cast("long"), step).cast("int")
 
 
 def parse_size(text: str, record: int = 100) -> int:

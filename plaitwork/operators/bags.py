@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -47,6 +49,13 @@ def anti(a: DataFrame, b: DataFrame, on: list[str] | None = None) -> DataFrame:
     return a.join(other, _same(a, other, on), "left_anti")
 
 
+def overlap(whole: DataFrame, part: DataFrame) -> DataFrame:
+    """Each row as often as in the relation that has it less often, for a part that is mostly small: only rows of the
+    whole that the part has are shuffled."""
+    part = part.select(*whole.columns)
+    return semi(whole, part).intersectAll(part)
+
+
 def merge(a: DataFrame, b: DataFrame) -> DataFrame:
     """a, and those rows of b whose value a doesn't have."""
     return a.unionAll(anti(b.select(*a.columns), a))
@@ -69,13 +78,21 @@ def occurrence(df: DataFrame, name: str = "__occ") -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset and Spark is one process."""
     sc = spark.sparkContext._jsc.sc()
     if sc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "plaitwork-checkpoints"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "plaitwork-checkpoints"))
     return sc.getCheckpointDir().get()
 
 
+def own_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint, so that plans of loops stay small and lost executors cost no replay."""
     checkpoint_dir(df.sparkSession)

@@ -106,19 +106,25 @@ def rank_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg(F.sum(F.coalesce(F.pow(F.col("rank") - F.col("other"), 2), F.lit(0.0))).alias("difference"))
 
 
-def pregel(vertices: DataFrame, edges: DataFrame, first: Column, program: Callable[[Column, Column], Column], send: Column, towards: str, combine: Callable[[str], Column], rounds: int | None = None) -> DataFrame:
+def pregel(vertices: DataFrame, edges: DataFrame, first: Column, program: Callable[[Column, Column], Column], send: Column, towards: str, combine: Callable[[str], Column], rounds: int | None = None, active: str = "either") -> DataFrame:
     """A vertex-program loop: (id, attr).
 
     send is an expression of src_attr, dst_attr and attr (of the edge) that gives a message or null; towards is the end (src or
     dst) that gets it.  Messages of a vertex are combined by an aggregate of the column `message`; program makes the new
     attribute from the old one and the message.  Vertices that got a message last round are active; the loop ends when none is.
-    With `rounds`, a loop that isn't done after so many is an error."""
+    An edge sends if an end that `active` names (src, dst or either) is active; with src, only edges of the frontier meet the
+    other end's state.  With `rounds`, a loop that isn't done after so many is an error."""
     state = cut(vertices.select("id", program(F.col("attr"), first).alias("attr"), F.lit(True).alias("active")))
     edges = cut(edges)
     for _ in count() if rounds is None else range(rounds):
         src = state.select(F.col("id").alias("src"), F.col("attr").alias("src_attr"), F.col("active").alias("src_active"))
         dst = state.select(F.col("id").alias("dst"), F.col("attr").alias("dst_attr"), F.col("active").alias("dst_active"))
-        seen = edges.join(src, "src").join(dst, "dst").where("src_active or dst_active")
+        if active == "src":
+            seen = edges.join(src.where("src_active"), "src").join(dst, "dst")
+        elif active == "dst":
+            seen = edges.join(dst.where("dst_active"), "dst").join(src, "src")
+        else:
+            seen = edges.join(src, "src").join(dst, "dst").where("src_active or dst_active")
         got = seen.select(F.col(towards).alias("id"), send.alias("message")).where("message is not null").groupBy("id").agg(combine("message").alias("message"))
         new = F.when(F.col("message").isNotNull(), program(F.col("attr"), F.col("message"))).otherwise(F.col("attr"))
         state = cut(state.join(got, "id", "left").select("id", new.alias("attr"), F.col("message").isNotNull().alias("active")))
@@ -132,9 +138,9 @@ def shortest_paths_from(edges: DataFrame, source: int, weight: Column | None = N
 
     A path has fewer edges than there are vertices, so a loop that goes on longer (a negative cycle) is an error."""
     weighted = edges.select("src", "dst", (weight if weight is not None else F.lit(1.0)).cast("double").alias("attr"))
-    start = vertices_of(edges).withColumn("attr", F.when(F.col("id") == source, 0.0).otherwise(float("inf")))
+    start = cut(vertices_of(edges)).withColumn("attr", F.when(F.col("id") == source, 0.0).otherwise(float("inf")))
     step = F.when(F.col("src_attr") + F.col("attr") < F.col("dst_attr"), F.col("src_attr") + F.col("attr"))
-    done = pregel(start, weighted, F.lit(float("inf")), lambda a, m: F.least(a, m), step, "dst", F.min, max(1, start.count()))
+    done = pregel(start, weighted, F.lit(float("inf")), lambda a, m: F.least(a, m), step, "dst", F.min, max(1, start.count()), "src")
     return done.where(F.col("attr") < float("inf")).select("id", F.col("attr").alias("distance"))
 
 

@@ -51,11 +51,11 @@ def lloyd_step(assigned: DataFrame, dim: int, features: str = "features") -> Dat
 # linear models --------------------------------------------------------------------------------------------------------
 
 
-def gradient_descent(df: DataFrame, dim: int, iterations: int, kind: str = "linear", step: float = 1.0) -> list[float]:
-    """Full-batch gradient descent with step / sqrt(i), from zero weights; a round is one aggregate with partial sums.
+def gradient_descent(df: DataFrame, dim: int, iterations: int, kind: str = "linear", step: float = 1.0, start: list[float] | None = None) -> list[float]:
+    """Full-batch gradient descent with step / sqrt(i), from zero weights unless others are given; a round is one aggregate with partial sums.
 
     kind is linear (squared error), logistic, or svm (hinge loss, labels 0 and 1)."""
-    weights = [0.0] * dim
+    weights = list(start) if start else [0.0] * dim
     for i in range(1, iterations + 1):
         score = dot(F.col("features"), F.lit(weights))
         if kind == "linear":

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plaitwork.operators import annotations as A
-from plaitwork.operators.bags import anti, counted, occurrence, replicate, semi
+from plaitwork.operators.bags import anti, counted, occurrence, overlap, replicate, semi
 
 Back = Callable[[DataFrame, int, bool], DataFrame]
 _NUMBER = itertools.count()
@@ -41,6 +41,14 @@ class Node:
     number: int = field(default_factory=lambda: next(_NUMBER))
 
 
+#: Shares of the rows that make one output.
+SALTS = 32
+
+
+def _salt(columns: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS))
+
+
 def _need(tracked: DataFrame) -> DataFrame:
     return counted(tracked, "__need")
 
@@ -98,11 +106,14 @@ class Traced:
             if not least:
                 probe = _renamed(tracked.distinct(), "__t___o_")
                 return marked.join(probe, _on(marked, probe, outs), "left_semi").select(*full.columns)
-            order = Window.partitionBy(*outs).orderBy(*full.columns)
-            ranked = marked.withColumn("__rank", F.row_number().over(order))
             need = _need(tracked)
             probe = need.select(*[F.col(n).alias(f"__t___o_{n}") for n in columns], "__need")
-            return ranked.join(probe, _on(ranked, probe, outs)).where("__rank <= __need").select(*full.columns)
+            asked = marked.join(probe, _on(marked, probe, outs)).withColumn("__salt", _salt(full.columns))
+            # the first rows of an output are among the first of its salted shares, so a common output is no task's alone
+            for keys in ([*outs, "__salt"], outs):
+                order = Window.partitionBy(*keys).orderBy(*full.columns)
+                asked = asked.withColumn("__rank", F.row_number().over(order)).where("__rank <= __need")
+            return asked.select(*full.columns)
 
         return self._made("map" if inverse is None else "map_with_inverse", [], build, back)
 
@@ -139,10 +150,12 @@ class Traced:
             emitted = rows.select("*", *[F.col(c).alias(f"__o_{c}") for c in keep], F.explode(items).alias(f"__o_{name}"))
             marked = [f"__o_{c}" for c in outs]
             per = emitted.groupBy(*full.columns, "__occ", *marked).agg(F.count(F.lit(1)).alias("__emits"))
-            order = Window.partitionBy(*marked).orderBy(F.desc("__emits"), *full.columns, "__occ").rowsBetween(Window.unboundedPreceding, -1)
-            per = per.withColumn("__before", F.coalesce(F.sum("__emits").over(order), F.lit(0)))
             probe = _need(tracked).select(*[F.col(c).alias(f"__t___o_{c}") for c in outs], "__need")
-            taken = per.join(probe, _on(per, probe, marked)).where("__before < __need")
+            taken = per.join(probe, _on(per, probe, marked)).withColumn("__salt", _salt([*full.columns, "__occ"]))
+            # what comes before a row in its salted share is at most what comes before it at all
+            for keys in ([*marked, "__salt"], marked):
+                order = Window.partitionBy(*keys).orderBy(F.desc("__emits"), *full.columns, "__occ").rowsBetween(Window.unboundedPreceding, -1)
+                taken = taken.withColumn("__before", F.coalesce(F.sum("__emits").over(order), F.lit(0))).where("__before < __need")
             return taken.select(*full.columns, "__occ").distinct().select(*full.columns)
 
         return self._made("flat_map", [], build, back)
@@ -165,11 +178,11 @@ class Traced:
         def back(tracked: DataFrame, dep: int, least: bool) -> DataFrame:
             columns = tracked.columns
             if not least:
-                return parents[dep].full.select(*columns).intersectAll(tracked)
+                return overlap(parents[dep].full.select(*columns), tracked)
             rest = tracked
             for p in parents[:dep]:
-                rest = rest.exceptAll(p.full.select(*columns).intersectAll(rest))
-            return rest if dep == len(parents) - 1 else parents[dep].full.select(*columns).intersectAll(rest)
+                rest = rest.exceptAll(overlap(p.full.select(*columns), rest))
+            return rest if dep == len(parents) - 1 else overlap(parents[dep].full.select(*columns), rest)
 
         return self._made("union", others, lambda *dfs: reduce(DataFrame.unionByName, dfs), back)
 
@@ -195,16 +208,16 @@ class Traced:
         def back(tracked: DataFrame, dep: int, least: bool) -> DataFrame:
             sides = [p.full.columns for p in parents]
             if not least:
-                return parents[dep].full.intersectAll(tracked.select(*sides[dep]))
+                return overlap(parents[dep].full, tracked)
             times = counted(tracked, "__c")
             first = times.groupBy(*sides[0]).agg(F.max("__c").alias("__k"))
-            left = replicate(first, "__k").intersectAll(parents[0].full)
+            left = overlap(parents[0].full, replicate(first, "__k"))
             if dep == 0:
                 return left
             have = counted(left, "__have").select(*[F.col(c).alias(f"__t_{c}") for c in sides[0]], "__have")
             met = times.join(have, _on(times, have, sides[0]))
             need = met.groupBy(*sides[1]).agg(F.max(F.ceil(F.col("__c") / F.col("__have"))).alias("__k"))
-            return replicate(need, "__k").select(*sides[1]).intersectAll(parents[1].full)
+            return overlap(parents[1].full, replicate(need, "__k"))
 
         return self._made(op, [other], build, back)
 

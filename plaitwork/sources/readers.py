@@ -76,9 +76,10 @@ def id_names(spark: SparkSession, path: str) -> DataFrame:
 
 
 def binary_records(spark: SparkSession, path: str, key: int = 10, length: int = 100) -> DataFrame:
-    """Fixed-width records as (key binary, value binary); the splits are at multiples of the length."""
-    raw = spark.sparkContext.binaryRecords(path, length).map(lambda r: (bytearray(r),))
-    return spark.createDataFrame(raw, "r binary").select(F.substring("r", 1, key).alias("key"), F.substring("r", key + 1, length - key).alias("value"))
+    """Fixed-width records as (key binary, value binary); the splits are at multiples of the length.  No Python worker sees them."""
+    records = spark.sparkContext._jsc.sc().binaryRecords(path, length, spark.sparkContext._jsc.hadoopConfiguration())
+    rows = spark._jsparkSession.createDataset(records, spark._jvm.org.apache.spark.sql.Encoders.BINARY()).toDF()
+    return DataFrame(rows, spark).toDF("r").select(F.substring("r", 1, key).alias("key"), F.substring("r", key + 1, length - key).alias("value"))
 
 
 def socket_lines(spark: SparkSession, host: str, port: int) -> DataFrame:

@@ -9,7 +9,9 @@ from pyarrow.fs import FileSystem, FileType, LocalFileSystem
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+
+from plaitwork.operators.bags import own_folder
 
 # Names of storage levels.
 LEVELS = {
@@ -50,16 +52,41 @@ def binary_records(df: DataFrame, path: str) -> int:
     return df.select("key", "value").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def console(df: DataFrame, mode: str = "append") -> StreamingQuery:
-    return df.writeStream.outputMode(mode).format("console").start()
+def _clocked(df: DataFrame, mode: str, every: str | None, label: str) -> DataStreamWriter:
+    """A writer that keeps its progress in the shared folder and runs over what there is, or on a clock (every = "1 second")."""
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", own_folder(df.sparkSession, label))
+    return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+
+
+def console(df: DataFrame, mode: str = "append", every: str | None = None) -> StreamingQuery:
+    return _clocked(df, mode, every, "console").format("console").start()
 
 
 def memory(df: DataFrame, name: str, mode: str = "complete") -> StreamingQuery:
-    return df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """A table in the driver's memory, for looking at small results."""
+    return _clocked(df, mode, None, "memory").format("memory").queryName(name).start()
+
+
+def each_batch(df: DataFrame, act: Callable[[DataFrame, int], None], mode: str = "append", every: str | None = None) -> StreamingQuery:
+    return _clocked(df, mode, every, "each-batch").foreachBatch(act).start()
+
+
+def table(df: DataFrame, mode: str = "complete") -> DataFrame:
+    """Run a stream over what there is into Parquet files of the shared folder, and return them: the last batch's rows
+    (complete), or those of all batches."""
+    spark, folder, done = df.sparkSession, own_folder(df.sparkSession, "stream"), []
+    if mode == "append":
+        _clocked(df, mode, None, "stream-state").format("parquet").start(folder).awaitTermination()
+        return spark.read.schema(df.schema).parquet(folder)
 
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{number}")  # a batch that runs again replaces its rows
+        if number not in done:
+            done.append(number)
 
-def each_batch(df: DataFrame, act: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
-    return df.writeStream.outputMode(mode).foreachBatch(act).trigger(availableNow=True).start()
+    each_batch(df, keep, mode).awaitTermination()
+    paths = [f"{folder}/{n}" for n in (done[-1:] if mode == "complete" else done)]
+    return spark.read.schema(df.schema).parquet(*paths) if paths else spark.createDataFrame([], df.schema)
 
 
 def view(df: DataFrame, name: str) -> DataFrame:

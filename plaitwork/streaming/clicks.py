@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plaitwork.operators import ml
+from plaitwork.sources import sinks
+
 # Fixed value: the share of errors above which a zip code is flagged.
 FLAG = 0.05
 HOURS = {"batch": 1, "slide": 2, "pages": 10, "errors": 30, "users": 15}
@@ -84,10 +87,8 @@ def stream_of(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataF
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what there is, into a table in memory, and return the table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run a stream over what there is, into Parquet files of the shared folder, and return them as the view `name`."""
+    return sinks.view(sinks.table(stream, mode), name)
 
 
 def word_count(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -124,4 +125,22 @@ def distinct_sketch(df: DataFrame, column: str) -> DataFrame:
 
 def refit_each_batch(stream: DataFrame, fit: Callable[[DataFrame], object], keep: Callable[[int, object], None]):
     """Fit a model again on every batch of labelled rows (streaming logistic regression and the like); keep gets each model."""
-    return stream.writeStream.foreachBatch(lambda batch, number: None if batch.isEmpty() else keep(number, fit(batch))).trigger(availableNow=True).start()
+    return sinks.each_batch(stream, lambda batch, number: None if batch.isEmpty() else keep(number, fit(batch)))
+
+
+class StreamingLogistic:
+    """Logistic regression whose weights live across batches: each batch of (features, label) moves them some rounds further."""
+
+    def __init__(self, dim: int, rounds: int = 5, step: float = 1.0):
+        self.weights, self.rounds, self.step = [0.0] * dim, rounds, step
+
+    def update(self, batch: DataFrame, number: int = 0) -> None:
+        if not batch.isEmpty():
+            self.weights = ml.gradient_descent(batch, len(self.weights), self.rounds, "logistic", self.step, self.weights)
+
+    def train_on(self, stream: DataFrame, every: str | None = None):
+        return sinks.each_batch(stream, self.update, every=every)
+
+    def predict_on(self, rows: DataFrame) -> DataFrame:
+        """rows, of a stream or a table, with the present weights' prediction."""
+        return rows.withColumn("prediction", (ml.dot(F.col("features"), F.lit(self.weights)) > 0).cast("double"))
