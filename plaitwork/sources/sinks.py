@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -32,6 +33,7 @@ def binary_records(df: DataFrame, path: str) -> int:
 
     Fails if the folder exists.  A task writes under a name of its own and renames the file when it is whole, so a
     task that runs twice leaves one file.  path is a local (shared) path or a URI that pyarrow's file systems open."""
+    path = re.sub(r"^file:/+", "/", path)
     system, folder = FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
     if system.get_file_info(folder).type != FileType.NotFound:
         raise FileExistsError(path)
