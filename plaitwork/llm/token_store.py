@@ -5,7 +5,9 @@ nothing but itself.  For every id three predictors speak: the id that last follo
 last followed the one before (order 1), and the ids seen lately, by a hashed slot (order 0).  An event says which of them was
 right, or that none was.  The event's probabilities are a mix of two adaptive distributions, one under the confidences
 and agreement of the predictors, one under the last two events; the weight of each follows which of them did better.
-A 32-bit range coder writes the event; the slot of an order-0 hit, or the whole id where all were wrong, follows as plain bits.
+Where all were wrong, the upper eight bits of the id follow, as two halves of four bits under adaptive order-0 frequencies, the
+second under those of the first.  A 32-bit range coder writes events and halves.  The id's lower bits, and the slot of an
+order-0 hit, are close to evenly spread inside a block; they are written as plain bits.
 
 Many blocks are coded in step, one id of each at a time, all in whole numbers, so every machine decodes the same.
 
@@ -40,7 +42,10 @@ _SLOT_BITS = 10
 _TABLE_BITS = 10
 _TOP, _BOTTOM = np.uint32(1 << 24), np.uint32(1 << 16)
 _ONE = 4096
-_MAGIC = b"TKB1"
+_MAGIC = b"TKB2"
+#: Upper bits of an id that are coded by frequencies, in two halves; what a half's frequency gains; the most that they add up to.
+_UPPER, _HALF = 8, 4
+_GAIN, _MOST = 24, 1 << 12
 _HEAD = struct.Struct("<4sIBIII")  # magic, ids, bits of a plain id, CRC-32 of the ids, coded bytes, plain bytes
 
 
@@ -60,6 +65,8 @@ class _Model:
         self.by_state = np.full((lanes * 50, 4), _ONE // 4, np.int16)
         self.by_past = np.full((lanes * 16, 4), _ONE // 4, np.int16)
         self.weight = np.full(lanes, 16, np.int32)
+        # frequencies of the first half of an id's upper bits, then of the second half under each first one
+        self.halves = np.full((lanes * (1 + (1 << _HALF)), 1 << _HALF), 4, np.int16)
         self.before, self.before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.past = np.zeros(lanes, np.int64)
         lane = np.arange(lanes)
@@ -87,6 +94,16 @@ class _Model:
         w = self.weight[:n]
         return ((self.a * w + self.b * (32 - w)) >> 6) + 2
 
+    def upto(self, rows: np.ndarray) -> np.ndarray:
+        """Running sums of the frequencies in some rows of the halves."""
+        return self.halves[rows].cumsum(axis=1, dtype=np.int32)
+
+    def learn(self, rows: np.ndarray, half: np.ndarray, total: np.ndarray) -> None:
+        self.halves[rows, half] += _GAIN
+        full = rows[total > _MOST]
+        if len(full):
+            self.halves[full] = (self.halves[full] >> 1) + 1
+
     def event(self, ids: np.ndarray) -> np.ndarray:
         """Which predictor is right: 0 order 2, 1 order 1, 2 order 0, 3 none."""
         own = ids + 1
@@ -128,6 +145,74 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     return out
 
 
+class _Writer:
+    """Range coders of many blocks."""
+
+    def __init__(self, lanes: int, longest: int):
+        self.low, self.span = np.zeros(lanes, np.uint32), np.full(lanes, 0xFFFFFFFF, np.uint32)
+        self.coded, self.end = np.zeros((lanes, 3 * longest + 64), np.uint8), np.zeros(lanes, np.int64)
+
+    def put(self, lanes: np.ndarray | slice, before: np.ndarray, own: np.ndarray, total: np.ndarray) -> None:
+        """Code an event of each of the lanes, with frequencies `before` below it, `own` of it and `total` of all."""
+        unit = self.span[lanes] // total.astype(np.uint32)
+        lo, sp = self.low[lanes] + unit * before.astype(np.uint32), unit * own.astype(np.uint32)
+        while True:
+            same = (lo ^ (lo + sp)) < _TOP
+            short = ~same & (sp < _BOTTOM)
+            go = np.flatnonzero(same | short)
+            if not len(go):
+                break
+            if short.any():
+                sp[short] = (np.uint32(0) - lo[short]) & (_BOTTOM - np.uint32(1))
+            at = go if isinstance(lanes, slice) else lanes[go]
+            self.coded[at, self.end[at]] = lo[go] >> np.uint32(24)
+            self.end[at] += 1
+            lo[go] <<= np.uint32(8)
+            sp[go] <<= np.uint32(8)
+        self.low[lanes], self.span[lanes] = lo, sp
+
+    def done(self) -> list[bytes]:
+        lane = np.arange(len(self.low))
+        for _ in range(4):
+            self.coded[lane, self.end] = self.low >> np.uint32(24)
+            self.end += 1
+            self.low <<= np.uint32(8)
+        return [row[:n].tobytes() for row, n in zip(self.coded, self.end.tolist(), strict=True)]
+
+
+class _Reader:
+    """What _Writer wrote, from bytes of a buffer."""
+
+    def __init__(self, buffer: np.ndarray, byte: np.ndarray):
+        self.buffer, self.byte, self.last = buffer, byte, len(buffer) - 9
+        self.low, self.span, self.code = (np.full(len(byte), x, np.uint32) for x in (0, 0xFFFFFFFF, 0))
+        for _ in range(4):
+            self.code = (self.code << np.uint32(8)) | buffer[self.byte]
+            self.byte += 1
+
+    def seen(self, lanes: np.ndarray | slice, total: np.ndarray) -> np.ndarray:
+        """The place among the frequencies that each lane's code points to."""
+        self.unit = self.span[lanes] // total.astype(np.uint32)
+        return ((self.code[lanes] - self.low[lanes]) // self.unit).astype(np.int64)
+
+    def take(self, lanes: np.ndarray | slice, before: np.ndarray, own: np.ndarray) -> None:
+        lo, sp, co = self.low[lanes] + self.unit * before.astype(np.uint32), self.unit * own.astype(np.uint32), self.code[lanes]
+        while True:
+            same = (lo ^ (lo + sp)) < _TOP
+            short = ~same & (sp < _BOTTOM)
+            go = np.flatnonzero(same | short)
+            if not len(go):
+                break
+            if short.any():
+                sp[short] = (np.uint32(0) - lo[short]) & (_BOTTOM - np.uint32(1))
+            at = go if isinstance(lanes, slice) else lanes[go]
+            co[go] = (co[go] << np.uint32(8)) | self.buffer[np.minimum(self.byte[at], self.last)]
+            self.byte[at] += 1
+            lo[go] <<= np.uint32(8)
+            sp[go] <<= np.uint32(8)
+        self.low[lanes], self.span[lanes], self.code[lanes] = lo, sp, co
+
+
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     sizes = np.array([len(b) for b in blocks])
     turn = np.argsort(-sizes, kind="stable")
@@ -137,51 +222,41 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     for i, k in enumerate(turn.tolist()):
         ids[: sizes[i], i] = blocks[k]
     events = np.zeros((longest, lanes), np.int8)
-    model = _Model(lanes, int(ids.max()).bit_length() if ids.size else 1)
-    low, span = np.zeros(lanes, np.uint32), np.full(lanes, 0xFFFFFFFF, np.uint32)
-    coded, end = np.zeros((lanes, longest + 64), np.uint8), np.zeros(lanes, np.int64)
+    width = np.maximum(_UPPER, [int(b.max()).bit_length() if len(b) else 1 for b in blocks])[turn]
+    model, writer = _Model(lanes, int(width.max()) if lanes else 1), _Writer(lanes, longest)
     lane_no = np.arange(lanes)
     counts = lanes - np.searchsorted(sizes[::-1], np.arange(longest), side="right")
     for step, n in enumerate(counts.tolist()):
-        now = ids[step, :n]
+        now, lane = ids[step, :n], lane_no[:n]
         f = model.predict(n)
         e = model.event(now)
         events[step, :n] = e
         upto = f.cumsum(axis=0)
-        lane = lane_no[:n]
-        unit = span[:n] // upto[3].astype(np.uint32)
         mine = f[e, lane]
-        lo, sp = low[:n] + unit * (upto[e, lane] - mine).astype(np.uint32), unit * mine.astype(np.uint32)
-        while True:
-            same = (lo ^ (lo + sp)) < _TOP
-            short = ~same & (sp < _BOTTOM)
-            go = np.flatnonzero(same | short)
-            if not len(go):
-                break
-            if short.any():
-                sp[short] = (np.uint32(0) - lo[short]) & (_BOTTOM - np.uint32(1))
-            coded[go, end[go]] = lo[go] >> np.uint32(24)
-            end[go] += 1
-            lo[go] <<= np.uint32(8)
-            sp[go] <<= np.uint32(8)
-        low[:n], span[:n] = lo, sp
+        writer.put(slice(n), upto[e, lane] - mine, mine, upto[3])
+        new = np.flatnonzero(e == 3)
+        if len(new):
+            upper = now[new] >> (width[new] - _UPPER)
+            rows = new * (1 + (1 << _HALF))
+            for half in (upper >> _HALF, upper & ((1 << _HALF) - 1)):
+                sums = model.upto(rows)
+                at = np.arange(len(new))
+                own = model.halves[rows, half]
+                writer.put(new, sums[at, half] - own, own, sums[:, -1])
+                model.learn(rows, half, sums[:, -1])
+                rows = rows + 1 + half
         model.update(now, e)
-    for _ in range(4):
-        coded[lane_no, end] = low >> np.uint32(24)
-        end += 1
-        low <<= np.uint32(8)
     out: list[bytes] = [b""] * lanes
-    for i, k in enumerate(turn.tolist()):
+    for i, (k, code) in enumerate(zip(turn.tolist(), writer.done(), strict=True)):
         own = blocks[k].astype(np.int64)
         e = events[: sizes[i], i]
-        width = max(1, int(own.max()).bit_length()) if len(own) else 1
+        lower = int(width[i]) - _UPPER
         plain = e >= 2
-        widths = np.where(e[plain] == 2, _SLOT_BITS, width)
-        values = np.where(e[plain] == 2, model.slot(own[plain]), own[plain])
+        widths = np.where(e[plain] == 2, _SLOT_BITS, lower)
+        values = np.where(e[plain] == 2, model.slot(own[plain]), own[plain] & ((1 << lower) - 1))
         stops = np.cumsum(widths)
         bits = _bits_of(values, widths, stops - widths, int(stops[-1]) if len(stops) else 0).tobytes()
-        code = coded[i, : end[i]].tobytes()
-        out[k] = _HEAD.pack(_MAGIC, len(own), width, zlib.crc32(own.astype("<u4").tobytes()), len(code), len(bits)) + code + bits
+        out[k] = _HEAD.pack(_MAGIC, len(own), int(width[i]), zlib.crc32(own.astype("<u4").tobytes()), len(code), len(bits)) + code + bits
     return out
 
 
@@ -207,50 +282,46 @@ def _decode(rows: list[bytes]) -> list[np.ndarray]:
     window = np.ndarray((len(buffer) - 8,), ">u8", buffer, strides=(1,))
     lengths = np.array([len(r) for r in rows])
     base = (np.cumsum(lengths) - lengths)[turn] + _HEAD.size
-    byte = base.copy()
     bit = (base + np.array([h[4] for h in heads])[turn]) * 8
     width = np.array([h[2] for h in heads], np.int64)[turn]
     ids = np.zeros((longest, lanes), np.int64)
-    model = _Model(lanes, int(width.max()) if lanes else 1)
-    low, span, code = np.zeros(lanes, np.uint32), np.full(lanes, 0xFFFFFFFF, np.uint32), np.zeros(lanes, np.uint32)
-    for _ in range(4):
-        code = (code << np.uint32(8)) | buffer[byte]
-        byte += 1
+    model, reader = _Model(lanes, int(width.max()) if lanes else 1), _Reader(buffer, base.copy())
     lane_no = np.arange(lanes)
     counts = lanes - np.searchsorted(sizes[::-1], np.arange(longest), side="right")
     last = len(buffer) - 9
     for step, n in enumerate(counts.tolist()):
+        lane = lane_no[:n]
         f = model.predict(n)
         upto = f.cumsum(axis=0)
-        unit = span[:n] // upto[3].astype(np.uint32)
-        value = ((code[:n] - low[:n]) // unit).astype(np.int64)
+        value = reader.seen(slice(n), upto[3])
         e = (value >= upto[0]).astype(np.int64) + (value >= upto[1]) + (value >= upto[2])
-        lane = lane_no[:n]
         mine = f[e, lane]
-        lo, sp, co = low[:n] + unit * (upto[e, lane] - mine).astype(np.uint32), unit * mine.astype(np.uint32), code[:n]
-        while True:
-            same = (lo ^ (lo + sp)) < _TOP
-            short = ~same & (sp < _BOTTOM)
-            go = np.flatnonzero(same | short)
-            if not len(go):
-                break
-            if short.any():
-                sp[short] = (np.uint32(0) - lo[short]) & (_BOTTOM - np.uint32(1))
-            co[go] = (co[go] << np.uint32(8)) | buffer[np.minimum(byte[go], last)]
-            byte[go] += 1
-            lo[go] <<= np.uint32(8)
-            sp[go] <<= np.uint32(8)
-        low[:n], span[:n] = lo, sp
+        reader.take(slice(n), upto[e, lane] - mine, mine)
         now = np.where(e == 0, model.p2, model.p1).astype(np.int64) - 1
+        new = np.flatnonzero(e == 3)
+        upper = np.zeros(n, np.int64)
+        if len(new):
+            rows = new * (1 + (1 << _HALF))
+            for _ in range(2):
+                sums = model.upto(rows)
+                value = reader.seen(new, sums[:, -1])
+                half = np.minimum((value[:, None] >= sums).sum(axis=1), (1 << _HALF) - 1)
+                at = np.arange(len(new))
+                own = model.halves[rows, half]
+                reader.take(new, sums[at, half] - own, own)
+                model.learn(rows, half, sums[:, -1])
+                rows = rows + 1 + half
+                upper[new] = upper[new] << _HALF | half
         at = np.flatnonzero(e >= 2)
         if len(at):
             short_code = e[at] == 2
-            w = np.where(short_code, _SLOT_BITS, width[at])
+            w = np.where(short_code, _SLOT_BITS, width[at] - _UPPER)
             b = bit[at]
             raw = window[np.minimum(b >> 3, last)].astype(np.uint64) << (b & 7).astype(np.uint64)
-            plain = (raw >> (64 - w).astype(np.uint64)).astype(np.int64)
+            plain = np.where(w > 0, (raw >> np.minimum(64 - w, 63).astype(np.uint64)).astype(np.int64), 0)
             bit[at] = b + w
-            now[at] = np.where(short_code, model.recent[model.slot_at[at] + (plain & ((1 << _SLOT_BITS) - 1))] - 1, plain)
+            whole = upper[at] << np.maximum(width[at] - _UPPER, 0) | plain
+            now[at] = np.where(short_code, model.recent[model.slot_at[at] + (plain & ((1 << _SLOT_BITS) - 1))] - 1, whole)
         ids[step, :n] = now
         model.update(now, e)
     out: list[np.ndarray] = [np.zeros(0, "<u4")] * lanes
