@@ -152,6 +152,54 @@ def test_bit_sliced_filters_answer_with_all_languages():
     assert filters.predict(long)[0] == "x"
 
 
+def plain_prediction(text, languages, ngrams, size, hashes):
+    """Bloom filters as sets of slots; counts over all windows, corrected for each filter's chance."""
+    filters = {name: {int(x) for at in language_id.slots(ngrams[name], size, hashes) for x in at} for name in languages}
+    low = "".join(c if c.isalpha() else " " for c in text.lower())
+    low = " " + re.sub(" +", " ", low).lstrip() + " "
+    if not low.strip():
+        return "und", 0.0
+    windows = [low[k : k + 4] for k in range(len(low) - 3)]
+    fair = {}
+    for name in languages:
+        chance, hits = (len(filters[name]) / size) ** hashes, 0
+        for w in windows:
+            code = 0
+            for c in w:
+                code = (code * 0x110001 + ord(c)) % 2**64
+            hits += all(int(at[0]) in filters[name] for at in language_id.slots(np.array([code], np.uint64), size, hashes))
+        fair[name] = max(0.0, (hits - chance * len(windows)) / (1 - chance))
+    best = max(languages, key=lambda name: (fair[name], [-ord(c) for c in name]))
+    return best, fair[best] / sum(fair.values()) if sum(fair.values()) else 0.0
+
+
+@pytest.mark.parametrize("many", [3, 130])
+def test_predictions_against_plain_counts(many):
+    """Small, full filters, so that chance hits matter; also masks of several words."""
+    rng = random.Random(many)
+    names = sorted(f"l{k:03}" for k in range(many))
+    stock = ["".join(rng.choice("abcdeßé") for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    ngrams = {n: np.unique(language_id.grams(" ".join(rng.sample(stock, 12)))) for n in names}
+    filters = language_id.Filters(names, ngrams, 512, 2)
+    for _ in range(12):
+        text = rng.choice(["", "7 ", "¿"]) + " ".join(rng.choice(stock) + rng.choice(["", ".", " 5"]) for _ in range(rng.randint(0, 15)))
+        want = plain_prediction(text, names, ngrams, 512, 2)
+        got = filters.predict(text)
+        assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-9
+
+
+def test_many_labels(spark):
+    word = lambda k: "".join(chr(97 + (k // 26**j) % 26) for j in range(3)) * 3
+    rows = [(k, " ".join([word(k % 100)] * 5), f"lang{k % 100:03}") for k in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = language_id.fit(docs)
+    assert len(filters.languages) == 100
+    got = language_id.predictions(docs, filters).collect()
+    assert all(r.lang_pred == f"lang{r.doc_id % 100:03}" for r in got if r.lang_pred != "und")
+    with pytest.raises(ValueError, match="labels"):
+        language_id.fit(docs.withColumn("lang", F.concat("lang", F.col("doc_id").cast("string"))).unionByName(spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.col("id").cast("string").alias("lang"))))
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.predictions(docs, language_id.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
