@@ -28,16 +28,6 @@ def test_ids_are_those_of_the_library(text):
     assert library_tokens.loaded(WORD).ids(text).tolist() == WORD_LIB.encode(text, add_special_tokens=False).ids
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.one_of(ODD, st.text(max_size=20)), max_size=8), st.booleans())
-def test_ids_of_batches_are_those_of_the_library(texts, word_ends):
-    lib = WORD_LIB if word_ends else BYTE_LIB
-    small = library_tokens.LibraryTokens.__new__(library_tokens.LibraryTokens)
-    small.__dict__.update(library_tokens.loaded(WORD if word_ends else BYTE).__dict__)
-    small.pieces, small.chunks = bpe.Memo(small._piece, 5), bpe.Memo(small._chunk, 5)
-    assert [i.tolist() for i in small.ids_of(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
-
-
 def test_words_merged_together_and_alone_agree():
     coder = bpe.RankArrayBPE(BYTE)
     words = [w.encode() for w in (" the", "internationalisation", "q", "Übergröße", "aaaaaaaaaaaa")]
