@@ -150,6 +150,14 @@ def baseline_rmse(train: DataFrame, test: DataFrame, rating: str = "rating") ->
     return test.crossJoin(F.broadcast(mean)).agg(F.sqrt(F.avg(F.pow(F.col(rating) - F.col("mean"), 2))).alias("rmse"))  # mean is one row
 
 
+def improvement(train: DataFrame, predicted: DataFrame, rating: str = "rating", prediction: str = "prediction") -> DataFrame:
+    """One row: the RMSE on predicted of the mean rating of train, that of the predictions, and by how many per cent they are better."""
+    off = lambda name: F.sqrt(F.avg(F.pow(F.col(rating) - F.col(name), 2)))
+    mean = train.agg(F.avg(rating).alias("__mean"))
+    both = predicted.crossJoin(F.broadcast(mean)).agg(off("__mean").alias("baseline"), off(prediction).alias("rmse"))  # mean is one row
+    return both.withColumn("improvement", (F.col("baseline") - F.col("rmse")) / F.col("baseline") * 100)
+
+
 def pca(df: DataFrame, k: int):
     return PCA(k=k, inputCol="features", outputCol="projected").fit(vectors(df))
 

@@ -141,17 +141,21 @@ class Traced:
 
         def back(tracked: DataFrame, dep: int, least: bool) -> DataFrame:
             full = parent.full
-            if not least:
-                emitted = full.select(*full.columns, *[F.col(c).alias(f"__o_{c}") for c in keep], F.explode(items).alias(f"__o_{name}"))
-                probe = _renamed(tracked.distinct(), "__t___o_")
-                hit = emitted.join(probe, _on(emitted, probe, [f"__o_{c}" for c in outs]), "left_semi").select(*full.columns)
-                return semi(full, hit)
-            rows = occurrence(full)
-            emitted = rows.select("*", *[F.col(c).alias(f"__o_{c}") for c in keep], F.explode(items).alias(f"__o_{name}"))
             marked = [f"__o_{c}" for c in outs]
-            per = emitted.groupBy(*full.columns, "__occ", *marked).agg(F.count(F.lit(1)).alias("__emits"))
-            probe = _need(tracked).select(*[F.col(c).alias(f"__t___o_{c}") for c in outs], "__need")
-            taken = per.join(probe, _on(per, probe, marked)).withColumn("__salt", _salt([*full.columns, "__occ"]))
+            emit = lambda df, *own: df.select(*own, *[F.col(c).alias(f"__o_{c}") for c in keep], F.explode(items).alias(f"__o_{name}"))
+            probe = _renamed(tracked.distinct(), "__t___o_")
+            # a hash stands for the row, so that its elements are joined without it; only rows that may be meant go on
+            brief = emit(full, F.xxhash64(*full.columns).alias("__hash"))
+            met = brief.join(probe, _on(brief, probe, marked), "left_semi").select(F.col("__hash").alias("__of")).distinct()
+            rows = full.join(met, F.xxhash64(*full.columns) == F.col("__of"), "left_semi")
+            if not least:
+                emitted = emit(rows, *full.columns)
+                return semi(rows, emitted.join(probe, _on(emitted, probe, marked), "left_semi").select(*full.columns))
+            rows = occurrence(rows)
+            emitted = emit(rows, *full.columns, "__occ")
+            need = _need(tracked).select(*[F.col(c).alias(f"__t___o_{c}") for c in outs], "__need")
+            asked = emitted.join(need, _on(emitted, need, marked))
+            taken = asked.groupBy(*full.columns, "__occ", *marked, "__need").agg(F.count(F.lit(1)).alias("__emits")).withColumn("__salt", _salt([*full.columns, "__occ"]))
             # what comes before a row in its salted share is at most what comes before it at all
             for keys in ([*marked, "__salt"], marked):
                 order = Window.partitionBy(*keys).orderBy(F.desc("__emits"), *full.columns, "__occ").rowsBetween(Window.unboundedPreceding, -1)

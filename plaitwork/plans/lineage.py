@@ -18,9 +18,11 @@ from plaitwork.operators.traced import Node, TraceError, Traced
 
 @dataclass
 class TraceConfig:
-    """cache_level: a StorageLevel for traced rows of each step, or None; cut_rounds: checkpoint each round of an iteration."""
+    """cache_level: a StorageLevel for traced rows of each step, or None; cache_computation: one for the whole outputs of the
+    nodes that are traced through, so that several traces don't compute them again; cut_rounds: checkpoint each round of an iteration."""
 
     cache_level: object | None = None
+    cache_computation: object | None = None
     cut_rounds: bool = True
     max_rounds: int = 10
     one_by_one: bool = True  # trace what a replay lacks node by node, rather than merged
@@ -97,6 +99,10 @@ def go_back(frame: Traced, names: list[str], condition, least: bool, iterate: bo
     config = config or TraceConfig()
     start = frame.node
     tracked = frame.df if condition is None else frame.df.where(condition)
+    if config.cache_computation is not None:
+        for node in between(start, names):
+            if not node.full.is_cached:
+                node.full = node.full.persist(config.cache_computation)
     found = trace(start, tracked, names, least, config)
     if iterate:
         found = until_reproduced(start, tracked, found, config)

@@ -750,6 +750,20 @@ def ml_baseline_rmse(spark, d):
     return ml.baseline_rmse(train, test).select(F.round("rmse", 6).alias("rmse"))
 
 
+@query(f"""WITH {_RATED}, tr AS (SELECT * FROM r WHERE digit < 6), g AS (SELECT avg(rating) AS mean FROM tr),
+i AS (SELECT item, avg(rating) AS p FROM tr GROUP BY item),
+s AS (SELECT rating, mean, coalesce(p, mean) AS p FROM r LEFT JOIN i USING (item) CROSS JOIN g WHERE digit >= 8),
+e AS (SELECT sqrt(avg(pow(rating - mean, 2))) AS b, sqrt(avg(pow(rating - p, 2))) AS q FROM s)
+SELECT round(b, 6) AS baseline, round(q, 6) AS rmse, round((b - q) / b * 100, 4) AS improvement FROM e""")
+def ml_improvement(spark, d):
+    """How much better an item's mean rating predicts than the mean of all."""
+    train, _, test = ml.digit_split(_rated(spark, d))
+    means = train.groupBy("item").agg(F.avg("rating").alias("own"))
+    overall = train.agg(F.avg("rating").alias("mean"))
+    predicted = test.join(means, "item", "left").crossJoin(F.broadcast(overall)).select("rating", F.coalesce("own", "mean").alias("prediction"))  # overall is one row
+    return ml.improvement(train, predicted).select(F.round("baseline", 6).alias("baseline"), F.round("rmse", 6).alias("rmse"), F.round("improvement", 4).alias("improvement"))
+
+
 @query()
 def ml_als(spark, d):
     train, _, test = ml.digit_split(_rated(spark, d))
@@ -915,5 +929,5 @@ def ml_als_selection(spark, d):
     """The grid's best model by validation error, against the mean rating."""
     train, validation, test = ml.digit_split(cut(_rated(spark, d)))
     model, rmse, chosen = ml.select_als(train, validation, (4, 8), (0.1,), (3,))
-    scored = ml.mean_squared_error(model.transform(test), "prediction", "rating").select(F.sqrt("mse").alias("rmse"))
-    return scored.select(F.lit(chosen["rank"]).alias("rank"), F.lit(rmse).alias("validation_rmse"), "rmse")
+    scored = ml.improvement(train, model.transform(test))
+    return scored.select(F.lit(chosen["rank"]).alias("rank"), F.lit(rmse).alias("validation_rmse"), "rmse", "baseline", "improvement")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from plaitwork.operators import ml
 from plaitwork.sources import sinks
@@ -86,6 +88,52 @@ def stream_of(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataF
     return reader.option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else reader.parquet(path)
 
 
+class Receiver(DataSource):
+    """A stream of lines from a function of one's own, named by the option `fetch` ("module:function").
+
+    The function takes an offset and returns the lines after it and the next offset.  It runs on the driver, as a queue or a
+    socket does, and must give the same lines again for an offset that was not yet committed."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "receiver"
+
+    def schema(self) -> str:
+        return "value string"
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return _Received(self.options["fetch"])
+
+
+class _Received(SimpleDataSourceStreamReader):
+    def __init__(self, fetch: str):
+        self.fetch = fetch
+
+    def _lines(self, start: dict) -> tuple[list[tuple[str]], dict]:
+        module, _, function = self.fetch.partition(":")
+        lines, following = getattr(importlib.import_module(module), function)(start["at"])
+        return [(line,) for line in lines], {"at": following}
+
+    def initialOffset(self) -> dict:
+        return {"at": 0}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple[str]], dict]:
+        lines, following = self._lines(start)
+        return iter(lines), following
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple[str]]:
+        at = start
+        while at["at"] < end["at"]:
+            lines, at = self._lines(at)
+            yield from lines
+
+
+def receive(spark: SparkSession, fetch: str) -> DataFrame:
+    """The stream of lines that the function `fetch` ("module:function") hands out."""
+    spark.dataSource.register(Receiver)
+    return spark.readStream.format("receiver").option("fetch", fetch).load()
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a stream over what there is, into Parquet files of the shared folder, and return them as the view `name`."""
     return sinks.view(sinks.table(stream, mode), name)

@@ -172,3 +172,49 @@ def test_streams_on_a_clock_and_into_files(spark, tmp_path):
     (tmp_path / "none").mkdir()
     empty = spark.readStream.schema("id long").parquet(str(tmp_path / "none"))
     assert sinks.table(empty.groupBy("id").count()).count() == 0
+
+
+QUEUE = [["a b", "b"], ["c"], []]
+
+
+def waiting_lines(at: int) -> tuple[list[str], int]:
+    """A queue: one entry at a time."""
+    return (QUEUE[at], at + 1) if at < len(QUEUE) else ([], at)
+
+
+def test_a_receiver_of_ones_own(spark):
+    got = []
+    query = sinks.each_batch(clicks.receive(spark, "tests.test_exact:waiting_lines"), lambda batch, number: got.extend(r.value for r in batch.collect()), every="100 milliseconds")
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(got) == ["a b", "b", "c"]
+
+
+def test_improvement_over_the_mean(spark):
+    train = spark.createDataFrame([(1.0,), (3.0,)], "rating double")
+    predicted = spark.createDataFrame([(4.0, 4.5), (0.0, -0.5)], "rating double, prediction double")
+    row = ml.improvement(train, predicted).first()
+    assert (row.baseline, row.rmse, row.improvement) == (2.0, 0.5, 75.0)
+
+
+def test_rows_that_emit_a_word_often_and_repeat(spark):
+    """Provenance takes each row once for every copy of it, however often it emits a tracked word."""
+    rows = spark.createDataFrame([(1, "x x y"), (1, "x x y"), (2, "y"), (3, None), (4, "x")], "k int, t string")
+    words = Traced.source(rows, "rows").flat_map("w", F.split("t", " "), ["k"])
+    assert sorted(r.k for r in words.provenance("w = 'x'").df.collect()) == [1, 1, 4]
+    assert sorted(r.k for r in words.explain("w = 'x' and k = 1").df.collect()) == [1, 1]
+    assert words.provenance("w = 'z'").df.count() == words.explain("w = 'z'").df.count() == 0
+
+
+def test_cached_computation(spark):
+    from pyspark import StorageLevel
+
+    from plaitwork.plans.lineage import TraceConfig
+
+    base = Traced.source(spark.range(10), "base")
+    out = base.map(half=F.floor(F.col("id") / 2)).distinct()
+    config = TraceConfig(cache_computation=StorageLevel.MEMORY_AND_DISK)
+    assert sorted(r.id for r in out.go_back_to("base", "half = 3", config=config).df.collect()) == [6, 7]
+    assert base.node.full.is_cached and out.node.full.is_cached
+    base.node.full.unpersist()
+    out.node.full.unpersist()
