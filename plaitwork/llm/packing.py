@@ -105,7 +105,8 @@ def packed(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     """One row per piece with the sequence it lies in and its offset there."""
     groups = max(1, -(-df.count() // group))
     cut = pieces(df, vocabulary, id_col, text_col, length, end_id)
-    dealt = cut.withColumn("bunch", F.pmod(F.xxhash64("doc_id", F.lit("packing")), F.lit(groups)))
+    # pieces are dealt, not documents: neither a very long document nor an id that many rows share fills a group
+    dealt = cut.withColumn("bunch", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit("packing")), F.lit(groups)))
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", na_position="last")
