@@ -387,7 +387,8 @@ def write_ids(df: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id
             yield from blocks(True)
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    in_order = rows.repartitionByRange(shuffle_width(df.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    # the beginning of the text, which agrees with the order of texts, splits rows of one id; whole texts would go to the driver as samples
+    in_order = rows.repartitionByRange(shuffle_width(df.sparkSession), "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     return written(in_order.mapInArrow(batches, ROW), "token-ids")
 
 
