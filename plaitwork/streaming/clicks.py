@@ -81,11 +81,14 @@ def views_of_events(events: DataFrame) -> DataFrame:
 
 
 def stream_of(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """A stream of the Parquet file or folder at path."""
+    """A stream of the Parquet file or folder at path; what the name ends in doesn't tell them apart."""
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
     folder, _, name = path.rpartition("/")
-    return reader.option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else reader.parquet(path)
+    one_file = name.endswith(".parquet") and not any(status.isDirectory() for status in found or ())
+    return reader.option("pathGlobFilter", name).parquet(folder) if one_file else reader.parquet(path)
 
 
 class Receiver(DataSource):

@@ -5,6 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from plaitwork import registry
 from plaitwork.functions.scalars import Lcg128, format_size, java_hash, parse_size
 from plaitwork.operators import ml, sorting
 from plaitwork.plans import report
@@ -112,6 +113,20 @@ def test_streams(spark, tmp_path):
     assert clicks.frequency_sketch(batch, "url").count() == 1
 
 
+def test_streams_of_folders_named_like_files(spark, tmp_path):
+    """The word counts over a table that is one file, and over the same rows in a folder of files of the same name."""
+    lines = spark.createDataFrame([(k, k, "user", f"a b{k % 3}  c") for k in range(30)], "conv_id long, turn int, role string, text string")
+    (tmp_path / "file").mkdir()
+    lines.coalesce(1).write.parquet(str(tmp_path / "made"))
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "file" / "conversations.parquet")
+    lines.repartition(3).write.parquet(str(tmp_path / "folder" / "conversations.parquet"))
+    want = {"a": 30, "c": 30, "b0": 10, "b1": 10, "b2": 10}
+    for kind in ("file", "folder"):
+        for name in ("st_word_count", "st_stateful_word_count"):
+            assert {r.word: r.n for r in registry.QUERIES[name](spark, str(tmp_path / kind)).collect()} == want
+    assert clicks.stream_of(spark, f"file:{tmp_path}/folder/conversations.parquet").isStreaming
+
+
 def test_harness(spark, tmp_path):
     runs = report.run_all([("a", None, lambda: 1), ("b", lambda: 1 / 0, lambda: 1), ("c", None, lambda: 1 / 0), ("d", None, lambda: 1)])
     assert [(r.type, r.status) for r in runs] == [("a", 0), ("b-gen", 1), ("c", 1)]
