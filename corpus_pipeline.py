@@ -30,9 +30,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by 0.8 of their five-word shingles, the one with the least id stays."""
+    """Of each group of documents that are linked by op7's fingerprints or by 0.8 of their five-word shingles, the one with the least id stays."""
     name = fresh(docs, "stay")
-    groups = near_copies.near_duplicates(docs)
+    groups = near_copies.near_duplicates(docs, fingerprints=True)
     stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
     return docs.join(stay, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi").select(*docs.columns)
 

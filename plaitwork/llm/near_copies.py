@@ -13,6 +13,10 @@ the one that most of its keys tie it to, which settles a group of copies of one
 clusters, their sets are dealt into blocks of that size, and pairs of blocks are compared, each in a task of its own, but for
 blocks of one and the same cluster; so no link is lost there either.
 
+With `fingerprints`, links of op7's SimHash fingerprints (at most 2 bits apart, found by the pigeonring filter of simhash.py) count
+as well: they hold repeated shingles as often as they stand, so copies that lost lines of a text full of repeats are near there
+and not by their sets.  Both kinds of links make one graph, whose components are the groups.
+
 Defined results: equal sets are one vertex, so groups of copies and repeated rows cost one row; a null id counts in
 no minimum (a component has a null id if all its ids are null); an empty table gives an empty result.
 """
@@ -28,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plaitwork.llm import simhash
 from plaitwork.llm.common import dropped, spread_join, whole_text, written
 from plaitwork.llm.components import components
 
@@ -70,11 +75,13 @@ def _key(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).astype(np.int64))
 
 
-def _signatures(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(it: Iterator[pa.RecordBatch], fingerprints: bool) -> Iterator[pa.RecordBatch]:
     for batch in it:
-        sets = [shingles(t) for t in batch.column(1).to_pylist()]
-        columns = [batch.column(0), pa.array(map(_key, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(bands, sets), pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "size", "bands"])
+        texts = batch.column(1).to_pylist()
+        sets = [shingles(t) for t in texts]
+        fps = np.array([simhash.fingerprint(t) for t in texts] if fingerprints else [0] * len(texts), np.uint64).view(np.int64)
+        columns = [batch.column(0), pa.array(map(_key, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(bands, sets), pa.list_(pa.int64())), pa.array(fps)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "size", "bands", "fp"])
 
 
 def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,10 +179,22 @@ def _large(sets: DataFrame, ties: DataFrame, group: int, cells: int) -> DataFram
     return components(written(held.unionByName(across), "all-links")).select(F.col("node").alias("key"), F.col("root").alias("top"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, cells: int = CELLS) -> DataFrame:
+def _united(signed: DataFrame, found: DataFrame, group: int) -> DataFrame:
+    """(key, top) of the links in found, (key, top), and of near fingerprints together."""
+    prints = written(signed.select("fp", "key").distinct(), "prints")
+    least = written(prints.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("copies")), "least")
+    same = spread_join(prints, least.where("copies > 1"), "fp", group).select(F.col("key").alias("a"), F.col("least").alias("b"))
+    one, two = (least.select(F.col("fp").alias(side), F.col("least").alias(f"key_{side}")) for side in "ab")
+    near = simhash.links(least.select("fp")).join(one, "a").join(two, "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    united = components(same.unionByName(near).unionByName(found.select(F.col("key").alias("a"), F.col("top").alias("b"))))
+    dropped(prints, least)
+    return united.select(F.col("node").alias("key"), F.col("root").alias("top"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, cells: int = CELLS, fingerprints: bool = False) -> DataFrame:
     """(doc_id, key, component_id) of every row; component_id is the smallest id that links reach."""
     plain = df.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    signed = written(plain.mapInArrow(_signatures, "doc_id long, key long, size int, bands array<long>"), "signatures")
+    signed = written(plain.mapInArrow(lambda it: _signatures(it, fingerprints), "doc_id long, key long, size int, bands array<long>, fp long"), "signatures")
     distinct = signed.groupBy("key").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
     banded = distinct.select("key", F.explode("bands").alias("band"))
     lowest = banded.groupBy("band").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "least")
@@ -194,6 +213,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         found = found.unionByName(_large(sets.where("large"), ties, group, cells))
     found = written(found, "linked")
     dropped(sets, ties, tied, sizes_table)
+    if fingerprints:
+        found = _united(signed, found, group)
     rooted = written(signed.groupBy("key").agg(F.min("doc_id").alias("low")).join(found, "key", "left").select("key", "low", F.coalesce("top", "key").alias("top")), "roots")
     lows = rooted.groupBy("top").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("copies"))
     named = spread_join(rooted.select("key", "top"), written(lows, "lows"), "top").select("key", "component_id")

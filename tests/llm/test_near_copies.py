@@ -6,6 +6,8 @@ import pytest
 import corpus_pipeline
 from plaitwork.llm import near_copies
 
+from .test_dedup import brute_components, brute_fingerprint
+
 
 def shingle_set(text):
     words = (text or "").lower().split()
@@ -100,3 +102,35 @@ def test_near_copies_of_odd_documents(edge_docs, no_docs):
     got = {r.doc_id: r.component_id for r in near_copies.near_duplicates(edge_docs).collect()}
     assert got[0] == got[1] == got[2] == 0 and got[5] == 4 and got[8] == 8
     assert near_copies.near_duplicates(no_docs).count() == 0
+
+
+def test_stage_links_fingerprints_and_shingle_sets(spark):
+    """Copies that SimHash links though their sets share less than 0.8, such that it doesn't, and chains of both kinds."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    pairs = [3, 212, 385, 4738, 589, 6676, 2528, 5966]
+    rows = [(r.doc_id, r.text) for r in docs.where(docs.doc_id.isin(pairs) | (docs.doc_id < 60)).collect()]
+    rng, texts = np.random.default_rng(5), dict(rows)
+    for k, doc in enumerate((212, 4738, 3, 10)):  # copies of a copy, by their sets
+        words = texts[doc].split()
+        for at in rng.integers(0, len(words), 1 + len(words) // 60):
+            words[at] = f"new{rng.integers(0, 10**9)}"
+        rows.append((20_000 + k, " ".join(words)))
+    rows += [(30_000, None), (30_001, ""), (30_002, texts[3])]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = brute_components([d for d, _ in rows], [brute_fingerprint(t or "") for _, t in rows])
+    sets, above = [(d, shingle_set(t)) for d, t in rows], dict(prints)
+
+    def top(x):
+        while above[x] != x:
+            x = above[x]
+        return x
+
+    for a, s in sets:
+        for b, t in sets:
+            if b < a and len(s & t) * 5 >= 4 * len(s | t):
+                x, y = top(a), top(b)
+                above[max(x, y)] = min(x, y)
+    want = {d for d in above if top(d) == d}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, made, "").collect()} == want
+    by_sets, by_prints = kept_by_all_pairs(rows), {d for d in prints if prints[d] == d}
+    assert want < by_sets and want < by_prints
