@@ -1,7 +1,7 @@
 """Token ids by the public ``tokenizers`` library, with a memo of what it gave for each chunk of text.
 
 The library is asked once for a chunk that stands between spaces, then the ids are taken from a bounded
-memo.  Texts that can't be cut there (odd white space, special tokens, letters outside the Latin blocks)
+memo; ids_of() asks it for all new chunks of about two megabytes of text in one call.  Texts that can't be cut there (odd white space, special tokens, letters outside the Latin blocks)
 go to the library whole, so the ids are its own in every case.
 """
 
@@ -11,12 +11,13 @@ import json
 import os
 import unicodedata
 from array import array
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import regex
 
-from plaitwork.llm.bpe import BYTE_LEVEL_PATTERN, MEMO_ENTRIES, Memo, byte_alphabet, cuts_at_spaces
+from plaitwork.llm.bpe import BYTE_LEVEL_PATTERN, KEY, MEMO_ENTRIES, Memo, byte_alphabet, cuts_at_spaces
 
 # Fixed value: the pre-tokenizer pattern in the word-end vocabulary's file.
 WORD_END_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -41,7 +42,10 @@ class LibraryTokens:
         self.pattern = regex.compile(WORD_END_PATTERN if self.word_ends else BYTE_LEVEL_PATTERN)
         self.stand_in = dict(enumerate(byte_alphabet()))
         self.pieces = Memo(self._piece, memo_entries)
-        self.chunks = Memo(self._chunk, memo_entries)
+        self.chunks = Memo(self._chunk, memo_entries if self.word_ends else 2 * memo_entries)
+        vocab = self.tokenizer.get_vocab()
+        self.opens = np.zeros(1 + max(vocab.values()), bool)  # ids of tokens that begin with a space
+        self.opens[[i for token, i in vocab.items() if token.startswith(self.stand_in[32])]] = True
 
     def _piece(self, piece: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.stand_in))]).tobytes()
@@ -74,6 +78,34 @@ class LibraryTokens:
             raw = self._whole(text)
         return np.frombuffer(raw, "<u4")
 
+    def _learn(self, chunks: Iterable[str]) -> None:
+        """Put new chunks into the memo: the library encodes them as one text, and each begins where a token begins with a space."""
+        known, older = self.chunks, self.chunks.older
+        new = [c for c in chunks if c and len(c) <= KEY and c[-1] != "\n" and c not in known and c not in older]
+        if not new or any(" " in s for s in self.specials):
+            return
+        ids = np.array(self.tokenizer.encode(" " + " ".join(new), add_special_tokens=False).ids, "<u4")
+        starts = (4 * np.flatnonzero(self.opens[ids])).tolist()
+        if len(starts) == len(new):
+            raw = ids.tobytes()
+            for c, a, b in zip(new, starts, [*starts[1:], len(raw)], strict=True):
+                known.put(c, raw[a:b])
+
+    def ids_of(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """ids() of each text in turn."""
+        at = 0
+        while at < len(texts):
+            upto, size, chunks = at, 0, set()
+            while upto < len(texts) and size < 2_000_000:
+                text = texts[upto]
+                if not self.word_ends and cuts_at_spaces(text) and not any(s in text for s in self.specials):
+                    chunks.update(text.split(" ")[1:])
+                size += len(text)
+                upto += 1
+            self._learn(chunks)
+            yield from map(self.ids, texts[at:upto])
+            at = upto
+
 
 _LOADED: dict[str, LibraryTokens] = {}
 

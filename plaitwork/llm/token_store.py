@@ -9,14 +9,15 @@ Where all were wrong, the upper eight bits of the id follow, as two halves of fo
 second under those of the first.  A 32-bit range coder writes events and halves.  The id's lower bits, and the slot of an
 order-0 hit, are close to evenly spread inside a block; they are written as plain bits.
 
-Many blocks are coded in step, one id of each at a time, all in whole numbers, so every machine decodes the same.
+All is in whole numbers, so every machine decodes the same.  The queries code blocks in the JVM (BlockCoder.java), one after the
+other; encode_blocks() and decode_blocks() give and take the same bytes with numpy, many blocks in step, one id of each at a time.
 
 Files: a table of block rows in ascending order of (part, block): ids in order of doc_id, each document followed by the end
 id.  A row has the coded bytes, their number of ids, the CRC-32 of the ids, and which documents lie in it from where.
 
 Defined results: null text counts as empty; an empty document is the end id alone; documents with equal ids stand in the order of
 their texts; a null id sorts first; an empty table gives no row and no block; a block that doesn't match its checksum
-raises TokenFileError; columns other than id and text are left out.
+raises TokenFileError, in a query Spark's own error; columns other than id and text are left out.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plaitwork.llm import library_tokens
+from plaitwork.llm import jvm, library_tokens
 from plaitwork.llm.common import shuffle_width, whole_text, written
 
 BLOCK = 4096
@@ -333,7 +334,7 @@ def _decode(rows: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-ROW = "part int, block int, n_ids int, crc long, coded binary, docs array<struct<doc_id:long,start:long,total:long,at:int>>"
+ROW = "part int, block int, n_ids int, ids binary, docs array<struct<doc_id:long,start:long,total:long,at:int>>"
 _DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("total", pa.int64()), ("at", pa.int32())]))
 
 
@@ -365,18 +366,17 @@ def write_ids(df: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id
                     d += 1
                 lists.append(own)
             docs = docs[d:]
-            coded = encode_blocks(cuts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(cuts), pa.int32()), pa.array(range(number, number + len(cuts)), pa.int32()), pa.array([len(c) for c in cuts], pa.int32()), pa.array([zlib.crc32(c) for c in coded], pa.int64()), pa.array(coded, pa.binary()), pa.array(lists, _DOCS)],
-                ["part", "block", "n_ids", "crc", "coded", "docs"],
+                [pa.array([part] * len(cuts), pa.int32()), pa.array(range(number, number + len(cuts)), pa.int32()), pa.array([len(c) for c in cuts], pa.int32()), pa.array([c.tobytes() for c in cuts], pa.binary()), pa.array(lists, _DOCS)],
+                ["part", "block", "n_ids", "ids", "docs"],
             )
             waiting, count = [ids[whole:]], len(ids) - whole
             number += len(cuts)
             written_ids += whole
 
         for batch in it:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.concatenate((tokens.ids(text), end))
+            for doc, own in zip(batch.column(0).to_pylist(), tokens.ids_of(batch.column(1).to_pylist()), strict=True):
+                ids = np.concatenate((own, end))
                 docs.append((doc, start, len(ids)))
                 start += len(ids)
                 waiting.append(ids)
@@ -389,7 +389,9 @@ def write_ids(df: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     # the beginning of the text, which agrees with the order of texts, splits rows of one id; whole texts would go to the driver as samples
     in_order = rows.repartitionByRange(shuffle_width(df.sparkSession), "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
-    return written(in_order.mapInArrow(batches, ROW), "token-ids")
+    encode = jvm.function(df.sparkSession, "BlockCoder", False, "binary")
+    coded = in_order.mapInArrow(batches, ROW).withColumn("coded", encode(F.col("ids")))
+    return written(coded.select("part", "block", "n_ids", F.crc32("coded").alias("crc"), "coded", "docs"), "token-ids")
 
 
 @functools.cache
@@ -425,21 +427,15 @@ def crc32_joined(first: int, second: int, size: int) -> int:
 def read_documents(blocks: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the coded blocks alone."""
 
-    def pieces(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            out: list[list] = [[], [], [], [], [], [], []]
-            parts, numbers, _, crcs, coded, docs = (batch.column(k).to_pylist() for k in range(6))
-            if any(zlib.crc32(c) != want for c, want in zip(coded, crcs, strict=True)):
-                raise TokenFileError("a coded block doesn't match its checksum")
-            for part, number, ids, own in zip(parts, numbers, decode_blocks(coded), docs, strict=True):
-                ends = [d["at"] for d in own[1:]] + [len(ids)]
-                for d, b in zip(own, ends, strict=True):
-                    for column, value in zip(out, (part, number, d["doc_id"], d["start"], d["total"], b - d["at"], zlib.crc32(ids[d["at"] : b].tobytes())), strict=True):
-                        column.append(value)
-            kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["part", "block", "doc_id", "start", "total", "length", "crc"])
-
-    found = blocks.select("part", "block", "n_ids", "crc", "coded", "docs").mapInArrow(pieces, "part int, block int, doc_id long, start long, total long, length long, crc long")
+    decode = jvm.function(blocks.sparkSession, "BlockCoder", True, "binary")
+    sound = F.when(F.crc32("coded") == F.col("crc"), decode(F.col("coded")))
+    ids = F.coalesce(sound, F.raise_error(F.lit("TokenFileError: a coded block doesn't match its checksum")).cast("binary"))
+    # a document's ids in a block end where the next document's begin
+    upto = F.transform("docs", lambda d, i: F.struct(d["doc_id"].alias("doc_id"), d["start"].alias("start"), d["total"].alias("total"), d["at"].alias("at"), F.coalesce(F.get("docs", i + 1)["at"], F.col("n_ids")).alias("upto")))
+    each = blocks.select("part", "block", ids.alias("ids"), F.explode(upto).alias("d"))
+    length = (F.col("d.upto") - F.col("d.at")).cast("long")
+    crc = F.crc32(F.substring("ids", F.col("d.at") * 4 + 1, length.cast("int") * 4))
+    found = each.select("part", "block", "d.doc_id", "d.start", "d.total", length.alias("length"), crc.alias("crc"))
 
     @F.pandas_udf("long")
     def joined(parts):

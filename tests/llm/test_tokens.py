@@ -9,9 +9,10 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plaitwork.llm import bpe, library_tokens, packing, token_store
+from plaitwork.llm import bpe, jvm, library_tokens, packing, token_store
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 BYTE_LIB, WORD_LIB = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
@@ -138,6 +139,48 @@ def test_documents_from_files(edge_docs, no_docs):
     assert token_store.read_documents(token_store.write_ids(no_docs, BYTE, 0)).count() == 0
 
 
+def test_blocks_of_the_jvm_and_of_numpy_agree(spark):
+    rng = np.random.default_rng(5)
+    blocks = [rng.zipf(1.2, 4096) % 50257, rng.integers(0, 2**32, 4096), np.tile(np.arange(7), 200), np.array([5]), np.array([0, 2**32 - 1, 0]), np.zeros(300, int), np.zeros(0, int)]
+    encode, decode = (jvm.function(spark, "BlockCoder", back, "binary") for back in (False, True))
+    df = spark.createDataFrame([(k, bytearray(b.astype("<u4").tobytes())) for k, b in enumerate(blocks)], "k int, ids binary")
+    coded = [bytes(r.c) for r in df.select("k", encode(F.col("ids")).alias("c")).orderBy("k").collect()]
+    assert coded == token_store.encode_blocks(blocks[:-1]) + token_store.encode_blocks(blocks[-1:])
+    bad = []
+    for at in range(0, len(coded[0]), 61):
+        damaged = bytearray(coded[0])
+        damaged[at] ^= 4
+        bad.append((-1, damaged))
+    rows = [(k, bytearray(c)) for k, c in enumerate(coded)] + bad + [(-1, bytearray(coded[0][:-1])), (-1, bytearray(b"TKB2")), (-1, None)]
+    got = spark.createDataFrame(rows, "k int, c binary").select("k", decode(F.col("c")).alias("ids")).collect()
+    assert all(r.ids is None if r.k < 0 else bytes(r.ids) == blocks[r.k].astype("<u4").tobytes() for r in got)
+
+
+def test_a_damaged_file_is_an_error(edge_docs):
+    blocks = token_store.write_ids(edge_docs, BYTE, 0, block=256)
+    flipped = F.concat(F.expr("substring(coded, 1, 40)"), F.lit(bytearray(b"!")), F.expr("substring(coded, 42)"))
+    for crc in (F.col("crc"), F.crc32("coded")):
+        with pytest.raises(Exception, match="checksum"):
+            token_store.read_documents(blocks.withColumn("coded", flipped).withColumn("crc", crc)).collect()
+
+
+def test_chunks_learned_together_have_the_ids_of_the_library():
+    tokens = library_tokens.LibraryTokens(BYTE, memo_entries=40)
+    texts = ["", "one", "one two,three don't", "a\n", "a b.\n\nc d\n\n", "  two  spaces", "é 你好 мир ‘s 'll x", "q" * 900 + " end", "a <|endoftext|> b", "tail \u0301x \x1c y"]
+    texts += [" ".join(map(str, range(k, 3 * k))) for k in range(60)]
+    for some in (texts, texts[::-1]):
+        assert [i.tolist() for i in tokens.ids_of(some)] == [BYTE_LIB.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_four_million_ids_are_coded_and_read_in_seconds(spark):
+    ids = bytearray((np.random.default_rng(2).zipf(1.2, 4096) % 50257).astype("<u4").tobytes())
+    encode, decode = (jvm.function(spark, "BlockCoder", back, "binary") for back in (False, True))
+    df = spark.range(0, 1000, 1, 1).select(F.concat(F.lit(ids), F.encode(F.format_string("%04d", "id"), "utf-8")).alias("ids"))
+    began = time.time()
+    assert df.where(decode(encode(F.col("ids"))) == F.col("ids")).count() == 1000
+    assert time.time() - began < 10
+
+
 def test_crc_of_joined_parts():
     a, b = b"hello" * 9, b"xyz" * 1000
     assert token_store.crc32_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
