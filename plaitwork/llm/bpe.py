@@ -104,17 +104,16 @@ class RankArrayBPE:
             ranked.setdefault((self.id_of[left], self.id_of[right]), (rank, self.id_of[left + right]))
         self.base = len(self.token_bytes)
         self.merges = {a * self.base + b: found for (a, b), found in ranked.items()}
-        self.pair_keys = np.array(sorted(self.merges), np.int64)
-        in_order = [self.merges[k] for k in self.pair_keys.tolist()]
-        self.pair_ranks = np.array([r for r, _ in in_order], np.int32)
-        self.joined_ids = np.zeros(1 + len(in_order), np.int32)
-        for rank, joined in in_order:
+        self.joined_ids = np.zeros(1 + len(self.merges), np.int32)
+        for rank, joined in self.merges.values():
             self.joined_ids[rank] = joined
+        self._fill_slots()
         self.byte_ids = np.array([self.id_of[bytes([b])] for b in range(256)], np.int32)
+        self.byte_ranks = self._ranks_of(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
         self.pattern = regex.compile(BYTE_LEVEL_PATTERN)
         self.special_pattern = regex.compile("(" + "|".join(regex.escape(s) for s in self.specials) + ")") if self.specials else None
         self.word_memo = Memo(self._word, memo_entries)
-        self.chunk_memo = Memo(self._chunk, memo_entries)
+        self.chunk_memo = Memo(self._chunk, 2 * memo_entries)
 
     def merge_word(self, word: bytes) -> list[int]:
         """Ids of one pre-token: parts, and beside them the ranks of neighbours."""
@@ -158,10 +157,35 @@ class RankArrayBPE:
                         heappush(heap, (rank[left], left))
         return [p for p in parts if p >= 0]
 
+    def _fill_slots(self) -> None:
+        """An open table of pairs, at most a quarter full; the slot after the last one is the first."""
+        self.slot_bits = max(4, (4 * len(self.merges)).bit_length())
+        self.slot_keys = np.full(1 << self.slot_bits, -1, np.int64)
+        self.slot_ranks = np.full(1 << self.slot_bits, NO_RANK, np.int32)
+        keys = np.array(list(self.merges), np.int64)
+        for key, at in zip(keys.tolist(), self._slot_of(keys).tolist(), strict=True):
+            while self.slot_keys[at] != -1:
+                at = (at + 1) & ((1 << self.slot_bits) - 1)
+            self.slot_keys[at], self.slot_ranks[at] = key, self.merges[key][0]
+
+    def _slot_of(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.slot_bits)).astype(np.int64)
+
     def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) * self.base + right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where((self.pair_keys[at] == key) & (left >= 0) & (right >= 0), self.pair_ranks[at], NO_RANK)
+        key[(left < 0) | (right < 0)] = -1
+        at = self._slot_of(key)
+        there = self.slot_keys[at]
+        ranks = np.where(there == key, self.slot_ranks[at], NO_RANK)
+        ranks[key < 0] = NO_RANK
+        more = np.flatnonzero((there != key) & (there >= 0) & (key >= 0))
+        while len(more):
+            at[more] = (at[more] + 1) & ((1 << self.slot_bits) - 1)
+            there = self.slot_keys[at[more]]
+            hit = there == key[more]
+            ranks[more[hit]] = self.slot_ranks[at[more[hit]]]
+            more = more[~hit & (there >= 0)]
+        return ranks
 
     def merge_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of many short pre-tokens of like length; a row of the matrices is one word's part and rank array."""
@@ -170,8 +194,12 @@ class RankArrayBPE:
         length = np.array([len(w) for w in words])
         parts = np.where(np.arange(width) < length[:, None], self.byte_ids[raw], -1).astype(np.int32)
         ranks = np.full((n, width), NO_RANK, np.int32)
-        ranks[:, :-1] = self._ranks_of(parts[:, :-1], parts[:, 1:])
+        pairs = self.byte_ranks[raw[:, :-1].astype(np.int32) * 256 + raw[:, 1:]]
+        ranks[:, :-1] = np.where(parts[:, 1:] >= 0, pairs, NO_RANK)
         live, column = np.arange(n), np.arange(width)
+        # the places that a row is read from once the boundary after a part is gone, for each place of the part
+        after_part = np.minimum(column + (column > column[:, None]), width - 1)
+        at_part = np.minimum(column + (column >= column[:, None]), width - 1)
         out = parts
         while len(live):
             at = ranks.argmin(axis=1)
@@ -187,10 +215,10 @@ class RankArrayBPE:
             elif out is parts:
                 parts = parts.copy()
             # delete the boundary after the part at `at`: all that is right of it moves one place
-            from_right = np.minimum(column[None, :] + (column[None, :] > at[:, None]), width - 1)
-            parts = np.take_along_axis(parts, from_right, 1)
+            begin = (row * width)[:, None]
+            parts = parts.take(after_part[at] + begin)
             parts[row, at] = self.joined_ids[least]
-            ranks = np.take_along_axis(ranks, np.minimum(column[None, :] + (column[None, :] >= at[:, None]), width - 1), 1)
+            ranks = ranks.take(at_part[at] + begin)
             ranks[row, at] = self._ranks_of(parts[row, at], parts[row, at + 1])
             before = np.maximum(at - 1, 0)
             ranks[row, before] = np.where(at > 0, self._ranks_of(parts[row, before], parts[row, at]), ranks[row, before])
@@ -199,7 +227,7 @@ class RankArrayBPE:
     def learn(self, chunks: Iterable[str]) -> None:
         """Put chunks that stand after a space, as far as they are new, into the memo; their new words are merged together."""
         new = [c for c in chunks if len(c) <= KEY and c not in self.chunk_memo and c not in self.chunk_memo.older]
-        found = [self.pattern.findall(" " + c) for c in new]
+        found = [[" " + c] if c.isascii() and c.isalpha() else self.pattern.findall(" " + c) for c in new]
         known, older = self.word_memo, self.word_memo.older
         words = sorted({w for ws in found for w in ws if w not in known and w not in older}, key=len)
         encoded = [w.encode() for w in words]
@@ -211,7 +239,8 @@ class RankArrayBPE:
                 fresh.update(zip((w for w, _ in short), map(tuple, self.merge_words([b for _, b in short])), strict=True))
         get = lambda w: fresh[w] if w in fresh else known[w]
         for c, ws in zip(new, found, strict=True):
-            self.chunk_memo.put(c, get(ws[0]) if len(ws) == 1 else tuple(chain.from_iterable(map(get, ws))))
+            ids = fresh.get(ws[0]) if len(ws) == 1 else None
+            self.chunk_memo.put(c, ids or tuple(chain.from_iterable(map(get, ws))))
         for w, ids in fresh.items():
             known.put(w, ids)
 
@@ -239,10 +268,8 @@ class RankArrayBPE:
     def _plain(self, text: str) -> Iterable[tuple[int, ...]]:
         if cuts_at_spaces(text):
             first, *rest = text.split(" ")
-            yield from map(self.word_memo.__getitem__, self.pattern.findall(first))
-            yield from map(self.chunk_memo.__getitem__, rest)
-        else:
-            yield from map(self.word_memo.__getitem__, self.pattern.findall(text))
+            return chain(map(self.word_memo.__getitem__, self.pattern.findall(first)), map(self.chunk_memo.__getitem__, rest))
+        return map(self.word_memo.__getitem__, self.pattern.findall(text))
 
     def encode(self, text: str) -> list[int]:
         if self.special_pattern is None or not any(s in text for s in self.specials):

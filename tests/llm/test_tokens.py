@@ -38,6 +38,26 @@ def test_words_merged_together_and_alone_agree():
     assert list(small.encode_batch(texts)) == [BYTE_LIB.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_ranks_of_pairs_from_the_slots():
+    coder = bpe.loaded(BYTE)
+    keys = np.array(sorted(coder.merges), np.int64)
+    left, right = keys // coder.base, keys % coder.base
+    assert coder._ranks_of(left, right).tolist() == [coder.merges[k][0] for k in keys.tolist()]
+    rng = np.random.default_rng(4)
+    left, right = rng.integers(-1, coder.base, (2, 20, 5000))
+    want = [coder.merges.get(a * coder.base + b, (bpe.NO_RANK,))[0] if min(a, b) >= 0 else bpe.NO_RANK for a, b in zip(left.ravel().tolist(), right.ravel().tolist(), strict=True)]
+    assert coder._ranks_of(left.ravel(), right.ravel()).tolist() == want
+    assert np.searchsorted(np.flatnonzero(coder.slot_keys >= 0), len(coder.slot_keys)) == len(coder.merges) <= len(coder.slot_keys) // 4
+
+
+def test_memo_of_chunks_outlasts_that_of_words():
+    coder = bpe.RankArrayBPE(BYTE, memo_entries=100)
+    text = "x " + " ".join(f"w{k}" for k in range(150))
+    want = BYTE_LIB.encode(text, add_special_tokens=False).ids
+    assert list(coder.encode_batch([text])) == [want] and len(coder.chunk_memo) == 151  # "x" too
+    assert list(coder.encode_batch([text])) == [want]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="abcdenrst éß", min_size=1, max_size=300))
 def test_long_words_by_a_heap(text):
