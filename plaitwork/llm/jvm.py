@@ -43,7 +43,13 @@ def function(spark: SparkSession, name: str, flag: bool, result: str) -> Callabl
     values = sc._gateway.new_array(sc._jvm.java.lang.Object, 1)
     values[0] = flag
     instance = own.getConstructor(kinds).newInstance(values)
+    # the form of functions.udf() for Java functions by reflection, as py4j may take the one for Scala functions
+    kinds = sc._gateway.new_array(sc._jvm.java.lang.Class, 2)
+    kinds[0], kinds[1] = (sc._jvm.java.lang.Class.forName(f"org.apache.spark.sql.{k}") for k in ("api.java.UDF1", "types.DataType"))
+    values = sc._gateway.new_array(sc._jvm.java.lang.Object, 2)
+    values[0], values[1] = instance, spark._jsparkSession.parseDataType(f'"{result}"')
+    made = sc._jvm.java.lang.Class.forName("org.apache.spark.sql.functions").getMethod("udf", kinds).invoke(None, values)
     called = f"plaitwork_{name}_{flag}".lower()
-    # by a name in the session: functions.udf() also has a form for Scala functions, which py4j may take for this one
-    spark._jsparkSession.udf().register(called, instance, spark._jsparkSession.parseDataType(f'"{result}"'))
+    # nondeterministic only so that Spark neither repeats the call nor puts it off into the loop of an explode
+    spark._jsparkSession.udf().register(called, made.asNondeterministic())
     return lambda column: F.call_udf(called, column)

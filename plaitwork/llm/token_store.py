@@ -432,7 +432,7 @@ def read_documents(blocks: DataFrame) -> DataFrame:
     ids = F.coalesce(sound, F.raise_error(F.lit("TokenFileError: a coded block doesn't match its checksum")).cast("binary"))
     # a document's ids in a block end where the next document's begin
     upto = F.transform("docs", lambda d, i: F.struct(d["doc_id"].alias("doc_id"), d["start"].alias("start"), d["total"].alias("total"), d["at"].alias("at"), F.coalesce(F.get("docs", i + 1)["at"], F.col("n_ids")).alias("upto")))
-    each = blocks.select("part", "block", ids.alias("ids"), F.explode(upto).alias("d"))
+    each = blocks.select("part", "block", ids.alias("ids"), upto.alias("ds")).select("part", "block", "ids", F.explode("ds").alias("d"))
     length = (F.col("d.upto") - F.col("d.at")).cast("long")
     crc = F.crc32(F.substring("ids", F.col("d.at") * 4 + 1, length.cast("int") * 4))
     found = each.select("part", "block", "d.doc_id", "d.start", "d.total", length.alias("length"), crc.alias("crc"))

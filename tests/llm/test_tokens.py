@@ -176,6 +176,14 @@ def test_blocks_of_the_jvm_and_of_numpy_agree(spark):
     assert all(r.ids is None if r.k < 0 else bytes(r.ids) == blocks[r.k].astype("<u4").tobytes() for r in got)
 
 
+def test_a_block_is_decoded_before_its_documents_part(spark):
+    blocks = spark.createDataFrame([], "part int, block int, n_ids int, crc long, coded binary, docs array<struct<doc_id:long,start:long,total:long,at:int>>")
+    plan = token_store.read_documents(blocks)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    explodes = [k for k, line in enumerate(plan) if "Generate explode" in line]
+    decodes = [k for k, line in enumerate(plan) if "plaitwork_blockcoder_true(" in line.lower()]
+    assert len(explodes) == 1 and decodes and min(decodes) > explodes[0]  # below it, so once a block
+
+
 def test_a_damaged_file_is_an_error(edge_docs):
     blocks = token_store.write_ids(edge_docs, BYTE, 0, block=256)
     flipped = F.concat(F.expr("substring(coded, 1, 40)"), F.lit(bytearray(b"!")), F.expr("substring(coded, 42)"))
