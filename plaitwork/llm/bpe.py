@@ -66,6 +66,13 @@ class Memo(dict):
             self.clear()
         self[key] = value
 
+    def put_all(self, found: dict) -> None:
+        """put() of many, which count as one when it is seen whether a generation is full."""
+        if len(self) >= self.entries:
+            self.older = dict(self)
+            self.clear()
+        self.update(found if max(map(len, found), default=0) <= KEY else {k: v for k, v in found.items() if len(k) <= KEY})
+
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:

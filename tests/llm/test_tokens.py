@@ -214,3 +214,15 @@ def test_crc_of_joined_parts():
     assert token_store.crc32_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
     for size in (0, 1, 7, 255, 256, 16384, 99999):
         assert token_store.crc32_joined(zlib.crc32(a), zlib.crc32(bytes(size)), size) == zlib.crc32(a + bytes(size))
+
+
+def test_a_word_is_given_to_the_library_once_whatever_stands_after_it():
+    texts = ["Word word, word.\nword!\n\nWord) \"word\" don't.", "x Straße, STRASSE. straße; İs, ſo.", "word?\n", "word.\n\n", "a\n\n\nword", "\nword", " word", "word, 12. (word): word\tword"]
+    for path, lib in ((BYTE, BYTE_LIB), (WORD, WORD_LIB)):
+        tokens = library_tokens.LibraryTokens(path)
+        asked, whole = [], tokens._by_library
+        tokens._by_library = lambda chunks, asked=asked, whole=whole: asked.extend(chunks) or whole(chunks)
+        for _ in range(2):
+            assert [i.tolist() for i in tokens.ids_of(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+        assert "word" in asked and len(asked) == len(set(asked))
+        assert not {"word,", "word.", "word!", "word?", "word;"} & set(asked)
