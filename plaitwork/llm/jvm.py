@@ -53,3 +53,16 @@ def function(spark: SparkSession, name: str, flag: bool, result: str) -> Callabl
     # nondeterministic only so that Spark neither repeats the call nor puts it off into the loop of an explode
     spark._jsparkSession.udf().register(called, made.asNondeterministic())
     return lambda column: F.call_udf(called, column)
+
+
+def local_files(spark: SparkSession) -> None:
+    """Have this session write local files by LocalFiles.java, unless it names a class of its own for them.
+
+    Hadoop without its native library starts a process `chmod` for each new file and each new checksum file, which for a moment
+    stands beside a large executor as a second one of its size."""
+    if spark.conf.get("fs.file.impl", None) or spark.sparkContext._jsc.hadoopConfiguration().get("fs.file.impl"):
+        return
+    own = _class(spark, "LocalFiles")
+    spark.sparkContext._jsc.hadoopConfiguration().setClassLoader(own.getClassLoader())
+    spark.conf.set("fs.file.impl.disable.cache", "true")  # the cache may hold Hadoop's own already
+    spark.conf.set("fs.file.impl", own.getName())

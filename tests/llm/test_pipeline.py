@@ -70,3 +70,17 @@ def test_stages_on_odd_documents(spark, edge_docs, no_docs):
 def test_queries_are_named_by_operator():
     assert [int(q[2:].split("_")[0]) for q in queries.QUERIES] == list(range(1, 11))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_stages_write_local_files_without_a_process_for_each(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some text"), (2, "more text")], "doc_id long, text string")
+    corpus_pipeline.drop_exact_copies(spark, docs, "").write.parquet(str(tmp_path / "out"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(str(tmp_path / "out"))
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    assert files.getClass().getName() == "plaitwork.llm.LocalFiles"
+    for mode in (0o640, 0o1777):  # the second one by the way of Hadoop's own class
+        files.setPermission(path, spark._jvm.org.apache.hadoop.fs.permission.FsPermission(f"{mode:o}"))
+        assert (tmp_path / "out").stat().st_mode & 0o7777 == mode
+    (tmp_path / "out").chmod(0o755)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    assert list((tmp_path / "out").glob(".part-*.crc"))
