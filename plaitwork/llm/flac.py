@@ -35,8 +35,8 @@ from plaitwork.llm.common import whole_text
 BLOCK = 4096
 RATE = 8000
 UNIT = 64
-#: Samples that are encoded or decoded together.
-TOGETHER = 1_500_000
+#: Samples that are encoded together; as a step of the decoder costs about the same for few frames as for many, it takes more.
+TOGETHER, DECODED_TOGETHER = 1_500_000, 4_000_000
 #: Bits of a linear coefficient, and of the fraction in it.
 _PRECISION, _SHIFT = 12, 10
 #: What a linear predictor's residual counts against a fixed one's: it takes more work, and a store compresses plain codes of text better.
@@ -382,7 +382,7 @@ def _frame(data: bytes, at: int, stream: Stream) -> _Frame:
 
 
 def decode_frames(streams: list[bytes], check: bool = True) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(stream, first sample, samples) of every frame in turn; as many frames are decoded together as TOGETHER samples hold."""
+    """(stream, first sample, samples) of every frame in turn; as many frames are decoded together as DECODED_TOGETHER samples hold."""
     heads = [metadata(data) for data in streams]
     waiting: list[tuple[int, int, int, int, _Frame]] = []
     held = 0
@@ -391,7 +391,7 @@ def decode_frames(streams: list[bytes], check: bool = True) -> Iterator[tuple[in
             f = _frame(data, at, head)
             waiting.append((k, sample, at, end, f))
             held += f.samples
-            if held >= TOGETHER:
+            if held >= DECODED_TOGETHER:
                 yield from _decode_some(streams, waiting, check)
                 waiting, held = [], 0
     yield from _decode_some(streams, waiting, check)
@@ -554,10 +554,12 @@ def _rice_frames(buffer: np.ndarray, frames: list[_Frame], base: np.ndarray, to:
                 bits.at = int(b[i])
                 residual[i], used[i] = bits.signed(int(raw_bits[i])), int(raw_bits[i])
         bit[:live] += used
-        guess = (coefficients[:, :live] * history[:, :live]).sum(axis=0) if deep > 1 else coefficients[0, :live] * history[0, :live]
+        guess = coefficients[0, :live] * history[0, :live]
+        for d in range(1, deep):
+            guess += coefficients[d, :live] * history[d, :live]
         now = (guess >> shift[:live] if shifts else guess) + residual
-        if deep > 1:
-            history[1:, :live] = history[:-1, :live].copy()
+        for d in range(deep - 1, 0, -1):
+            history[d, :live] = history[d - 1, :live]
         history[0, :live] = now
         samples[target[:live] + step] = now
         index[:live] += 1
@@ -579,10 +581,10 @@ def payload(text: str) -> bytes:
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], column: int, most: int = TOGETHER) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that are handled together, so memory holds one slice in its various forms."""
     for batch in batches:
-        for a, b in runs(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        for a, b in runs(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist(), most):
             yield batch.slice(a, b - a)
 
 
@@ -602,7 +604,7 @@ def read_back(media: DataFrame) -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
-        for batch in _parts(it, 2):
+        for batch in _parts(it, 2, DECODED_TOGETHER):
             streams = batch.column(2).to_pylist()
             sums = [Sums(metadata(data)) for data in streams]
             for k, offset, x in decode_frames(streams):  # blocks of samples, each with its offset

@@ -414,3 +414,11 @@ def test_chat_long_chain_of_needs(spark):
     rows = [("c", n - k, "call", "assistant", f"i{k:03}", "respond", None, None, [f"i{k - 1:03}"] if k else None) for k in range(n)]
     got = chat.formatted(spark.createDataFrame(rows, EVENTS), chat.RESPOND).orderBy("position").collect()
     assert [r.call_id for r in got] == [f"i{k:03}" for k in range(n)]
+
+
+def test_frames_of_many_streams_are_decoded_together(monkeypatch):
+    payloads = [bytes([k % 251, 7]) * (1 << 16) for k in range(20)]  # 2.6 million samples
+    calls, whole = [], flac._decode_some
+    monkeypatch.setattr(flac, "_decode_some", lambda streams, some, check: calls.append(len(some)) or whole(streams, some, check))
+    assert [flac.unsigned(x) for x in flac.decode_many(flac.encode_many(payloads))] == payloads
+    assert [n for n in calls if n] == [20 * 32]
