@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from plaitwork.llm import bpe, chat, exact_dedup, flac, language_id, packing, pii, simhash, substring_dedup, token_store
+from plaitwork.llm import bpe, chat, exact_dedup, flac, jvm, language_id, packing, pii, simhash, substring_dedup, token_store
 from plaitwork.llm.common import documents, written
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -31,6 +31,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jvm.local_files(spark)  # for the files of blocks and for those that the session writes after them
     blocks = token_store.write_ids(documents(spark, sf_dir), public_tokenizers.path(BYTE_VOCABULARY), end_id=0)
     return token_store.read_documents(blocks)
 

@@ -12,7 +12,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plaitwork.llm import bpe, jvm, library_tokens, packing, token_store
+from plaitwork.llm import bpe, jvm, library_tokens, packing, queries, token_store
+from plaitwork.llm.common import shared_dir
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 BYTE_LIB, WORD_LIB = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
@@ -209,6 +210,15 @@ def test_four_million_ids_are_coded_and_read_in_seconds(spark):
     assert time.time() - began < 10
 
 
+def test_the_query_writes_local_files_without_a_process_for_each(spark, tmp_path):
+    session = spark.newSession()  # its settings are its own
+    queries.op5_token_store(session, "/root/testdata/sf0.001").write.parquet(str(tmp_path / "out"))
+    for path in (tmp_path / "out", shared_dir(session)):  # of the result, and of the blocks
+        files = session._jvm.org.apache.hadoop.fs.Path(str(path)).getFileSystem(session._jsparkSession.sessionState().newHadoopConf())
+        assert files.getClass().getName() == "plaitwork.llm.LocalFiles"
+    assert session.read.parquet(str(tmp_path / "out")).count() == 200
+
+
 def test_crc_of_joined_parts():
     a, b = b"hello" * 9, b"xyz" * 1000
     assert token_store.crc32_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
