@@ -123,7 +123,7 @@ class LibraryTokens:
     def _learned(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of each of some chunks; they are new, or of the memo's older generation."""
         known, older = self.chunks, self.chunks.older
-        fresh = {c: older[c] for c in chunks.intersection(older)} if older else {}
+        fresh = {c: older[c] for c in chunks if c in older}  # an intersection with a dict would go through all of the dict
         new = list(chunks.difference(fresh) if fresh else chunks)
         together: tuple[list[str], list[str]] = [], []  # what the library gets: chunks after a space, and after a line break
         seen, words, rests = set(), [], []

@@ -219,6 +219,18 @@ def test_the_query_writes_local_files_without_a_process_for_each(spark, tmp_path
     assert session.read.parquet(str(tmp_path / "out")).count() == 200
 
 
+def test_new_chunks_are_looked_up_in_the_older_generation_without_going_through_it():
+    class Older(dict):
+        def __iter__(self):
+            raise AssertionError("gone through")
+
+    ours = library_tokens.LibraryTokens(BYTE)
+    list(ours.ids_of(["some words here"]))
+    ours.chunks.older = Older(ours.chunks)
+    ours.chunks.clear()
+    assert [a.tolist() for a in ours.ids_of(["some new words"])] == [BYTE_LIB.encode("some new words", add_special_tokens=False).ids]
+
+
 def test_crc_of_joined_parts():
     a, b = b"hello" * 9, b"xyz" * 1000
     assert token_store.crc32_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
